@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, packing, token_files
+from . import exact_dedup, packing, pieces, secrets, token_files, url_filter
 
 QUERIES = {
+    "op1_sentencepiece": pieces.op1_sentencepiece,
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
     "op4_token_ids": token_files.op4_token_ids,
+    "op8_url_reputation": url_filter.op8_url_reputation,
+    "op9_secret_scan": secrets.op9_secret_scan,
     "op10_best_fit_packing": packing.op10_best_fit_packing,
 }
 
 ORACLE_SQL = {
     "op3_exact_dedup": exact_dedup.ORACLE,
+    "op8_url_reputation": url_filter.ORACLE,
 }
