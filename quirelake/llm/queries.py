@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, line_crf, packing, pieces, secrets, token_files, url_filter
+from . import bag_minhash, exact_dedup, line_crf, packing, pieces, secrets, token_files, url_filter
 
 QUERIES = {
     "op1_sentencepiece": pieces.op1_sentencepiece,
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
     "op4_token_ids": token_files.op4_token_ids,
     "op5_quality_crf": line_crf.op5_quality_crf,
+    "op7_near_dedup": bag_minhash.op7_near_dedup,
     "op8_url_reputation": url_filter.op8_url_reputation,
     "op9_secret_scan": secrets.op9_secret_scan,
     "op10_best_fit_packing": packing.op10_best_fit_packing,
@@ -16,6 +17,5 @@ QUERIES = {
 
 ORACLE_SQL = {
     "op3_exact_dedup": exact_dedup.ORACLE,
-    "op5_quality_crf": line_crf.op5_quality_crf,
     "op8_url_reputation": url_filter.ORACLE,
 }
