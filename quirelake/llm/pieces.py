@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import narrow, table, vocabulary
 
-LIMIT = 600_000
+LIMIT = 250_000
 MARK = "▁"
 CHUNKS = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 

@@ -22,7 +22,7 @@ PLAIN = re.compile(r"[\n -~\xa1-\xac\xae-\xff]*\Z")
 #: A run of white space which a cut at each space would tear.
 TORN = re.compile(rf" [{SPACES}]* ")
 CHUNKS = re.compile(rf"[{SPACES}]*[^{SPACES}]+|[{SPACES}]+")
-LIMIT = 1_000_000
+LIMIT = 300_000
 
 
 def _byte_of() -> dict[str, int]:
