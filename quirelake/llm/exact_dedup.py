@@ -27,15 +27,17 @@ from .common import narrow, table, written
 IGNORED = "[\\x20\\x09-\\x0D]+"
 #: Runs merged at a time, as a power of two.
 ROUND_BITS = 5
+#: Dropped rows are broadcast up to this many (24 bytes each); beyond it the join shuffles.
+BROADCAST_ROWS = 1_000_000
 
 
 def digests(docs: DataFrame) -> DataFrame:
-    """doc_id, size (code points of the text), digest (SHA-256 of the normalised text), second (another hash), bare (its length)."""
+    """doc_id, size (code points of the text), raw (a hash of it), digest (SHA-256 of the normalised text), second (another hash), bare (its length)."""
     bare = F.regexp_replace("text", IGNORED, "")
     return (
         narrow(docs)
-        .select("doc_id", F.length("text").alias("size"), bare.alias("bare_text"))
-        .select("doc_id", "size", F.unhex(F.sha2("bare_text", 256)).alias("digest"), F.xxhash64("bare_text").alias("second"), F.length("bare_text").alias("bare"))
+        .select("doc_id", F.length("text").alias("size"), F.xxhash64("text").alias("raw"), bare.alias("bare_text"))
+        .select("doc_id", "size", "raw", F.unhex(F.sha2("bare_text", 256)).alias("digest"), F.xxhash64("bare_text").alias("second"), F.length("bare_text").alias("bare"))
     )
 
 
@@ -59,7 +61,7 @@ def merged(rows: DataFrame, runs: int, bits: int = ROUND_BITS) -> DataFrame:
 
 
 def exact_dedup(docs: DataFrame, bits: int = ROUND_BITS) -> DataFrame:
-    """doc_id, keep_id, group_size, kept, text_sha256 for each row of docs.
+    """doc_id, keep_id, group_size, kept, text_sha256, raw for each row of docs.
 
     docs: doc_id, text. Of rows whose texts are equal without white space, the
     one with the most code points stays, then the one with the smallest doc_id;
@@ -80,11 +82,26 @@ def exact_dedup(docs: DataFrame, bits: int = ROUND_BITS) -> DataFrame:
     found = found.withColumn("key", F.when(F.col("hot_digest").isNull(), F.col("digest")).otherwise(own)).join(cold, "key", "left")
     alone = F.struct(F.col("doc_id").alias("keep_id"), F.col("copy"), F.lit(1).cast("long").alias("size"))
     found = found.withColumn("group", F.coalesce("hot_group", "cold_group", alone))
-    return found.select("doc_id", "group.keep_id", F.col("group.size").alias("group_size"), (F.col("copy") == F.col("group.copy")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
+    return found.select("doc_id", "group.keep_id", F.col("group.size").alias("group_size"), (F.col("copy") == F.col("group.copy")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"), "raw")
+
+
+def deduplicated(docs: DataFrame) -> DataFrame:
+    """The rows of docs that stay, with all their columns."""
+    found = written(exact_dedup(docs).select("doc_id", "raw", "kept"), "decisions")
+    fate = written(found.groupBy("doc_id", "raw").agg(F.max("kept").alias("any_kept"), F.min("kept").alias("all_kept")).where("NOT all_kept"), "dropped")
+    names = docs.columns
+    marked = docs.withColumn("own_raw", F.xxhash64(F.coalesce("text", F.lit(""))))
+    gone = fate.select(F.col("doc_id").alias("gone_id"), F.col("raw").alias("gone_raw"), "any_kept")
+    same = F.col("doc_id").eqNullSafe(F.col("gone_id")) & (F.col("own_raw") == F.col("gone_raw"))
+    by = lambda df: F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+    stay = marked.join(by(gone), same, "left_anti").select(names)
+    # Rows that occur more than once as a whole: one of them stays.
+    twice = marked.join(by(gone.where("any_kept")), same, "left_semi").groupBy("doc_id", "own_raw").agg(F.min(F.struct(*(F.col(f"`{c}`") for c in names))).alias("row")).select("row.*")
+    return stay.unionByName(twice)
 
 
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_dedup(table(spark, sf_dir, "documents"))
+    return exact_dedup(table(spark, sf_dir, "documents")).drop("raw")
 
 
 ORACLE = r"""
