@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import bag_minhash, exact_dedup, line_crf, packing, pieces, secrets, token_files, url_filter
+from . import bag_minhash, exact_dedup, line_crf, mtree, packing, pieces, secrets, token_files, url_filter
 
 QUERIES = {
     "op1_sentencepiece": pieces.op1_sentencepiece,
+    "op2_mtree_top_k": mtree.op2_mtree_top_k,
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
     "op4_token_ids": token_files.op4_token_ids,
     "op5_quality_crf": line_crf.op5_quality_crf,
@@ -16,6 +17,7 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op2_mtree_top_k": mtree.ORACLE,
     "op3_exact_dedup": exact_dedup.ORACLE,
     "op8_url_reputation": url_filter.ORACLE,
 }
