@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bag_minhash, exact_dedup, line_crf, mtree, packing, pieces, secrets, token_files, url_filter
+from . import bag_minhash, exact_dedup, line_crf, mtree, packing, pieces, secrets, suffix_dedup, token_files, url_filter
 
 QUERIES = {
     "op1_sentencepiece": pieces.op1_sentencepiece,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
     "op4_token_ids": token_files.op4_token_ids,
     "op5_quality_crf": line_crf.op5_quality_crf,
+    "op6_suffix_dedup": suffix_dedup.op6_suffix_dedup,
     "op7_near_dedup": bag_minhash.op7_near_dedup,
     "op8_url_reputation": url_filter.op8_url_reputation,
     "op9_secret_scan": secrets.op9_secret_scan,
