@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from quirelake.plans import documents, relational
+
+QUERIES: dict = {**relational.QUERIES, **documents.QUERIES}
+ORACLE_SQL: dict = {**relational.ORACLE_SQL, **documents.ORACLE_SQL}
