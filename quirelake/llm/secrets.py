@@ -41,7 +41,7 @@ INDEX = {c: i + 1 for i, c in enumerate(ALPHABET)}
 #: Documents that the ordinary model is trained on, at most.
 SAMPLE_DOCS = 2_000
 #: Mean log-likelihood ratio for each character over which a token is a secret.
-BOUND = 0.5
+BOUND = 0.8
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:

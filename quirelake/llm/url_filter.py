@@ -64,11 +64,11 @@ def _domain(host: Column) -> Column:
 
 def _weight(groups: DataFrame) -> DataFrame:
     """One row: the weight of the beta prior for groups (n, good, parent, pn, pgood)."""
-    g = groups.where("n > 0").select("n", (F.col("good") / F.col("n")).alias("p"), (F.col("pgood") / F.col("pn")).alias("pp"), "parent", "pn")
+    g = groups.where("n > 0").select("n", F.try_divide("good", "n").alias("p"), F.try_divide("pgood", "pn").alias("pp"), "parent", "pn")
     s = g.agg(
         F.count("*").alias("k"), F.countDistinct("parent").alias("parents"), F.sum("n").alias("total"),
         F.sum(F.col("n") * (F.col("p") - F.col("pp")) * (F.col("p") - F.col("pp"))).alias("between"),
-        F.sum(F.col("n") * F.col("p") * (1 - F.col("p"))).alias("within"), F.sum(F.col("n") * F.col("n") / F.col("pn")).alias("squares"),
+        F.sum(F.col("n") * F.col("p") * (1 - F.col("p"))).alias("within"), F.sum(F.try_divide(F.col("n") * F.col("n"), F.col("pn"))).alias("squares"),
     )
     free = F.greatest(F.col("k") - F.col("parents"), F.lit(1))
     msb, msw = F.col("between") / free, F.col("within") / F.greatest(F.col("total") - F.col("k"), F.lit(1))
@@ -123,7 +123,7 @@ def judge(pages: DataFrame, outcomes: DataFrame, rules=RULES, z: float = Z, leas
 def page_outcomes(pages: DataFrame, labels: DataFrame) -> DataFrame:
     """Outcomes of the pages whose path names a labelled document: good if all its labels say good quality and none toxic."""
     number = F.regexp_extract(split_url(F.col("url"))[1], "^/[a-z]+/([0-9]{1,18})", 1)
-    named = pages.select("page_id", number.cast("bigint").alias("doc_id")).where("doc_id IS NOT NULL")
+    named = pages.select("page_id", number.try_cast("bigint").alias("doc_id")).where("doc_id IS NOT NULL")
     good = (F.coalesce("quality", F.lit(1)) == 1) & (F.coalesce("toxic", F.lit(0)) == 0)
     marked = labels.where("doc_id IS NOT NULL AND coalesce(quality, toxic) IS NOT NULL").groupBy("doc_id").agg(F.min(good).alias("good"))
     return named.join(marked, "doc_id").select("page_id", "good")
