@@ -118,7 +118,7 @@ def ascii_hex_encode(data: bytes) -> bytes:
 
 
 def ascii85(data: bytes) -> bytes:
-    body = re.sub(rb"[\0\t\n\x0c\r ]", b"", data).split(b"~")[0].removeprefix(b"<")
+    body = re.sub(rb"[\0\t\n\x0c\r ]", b"", data).removeprefix(b"<~").split(b"~")[0]
     out, group = bytearray(), []
     for c in body:
         if c == ord("z") and not group:
@@ -259,6 +259,11 @@ def decode(stream: Stream, resolve=lambda x: x) -> bytes:
                 from .fax import decode_fax
 
                 data = decode_fax(data, params)
+            elif name == "JBIG2Decode":
+                from .bilevel import decode_bilevel
+
+                shared = params.get("JBIG2Globals")
+                data = decode_bilevel(data, decode(shared, resolve) if isinstance(shared, Stream) else b"")
             elif name == "Crypt" or name in PASSED:
                 pass
             else:

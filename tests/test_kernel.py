@@ -8,7 +8,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from quirelake.kernel import calculator, content, crypto, document, edit, encodings, fax, filters, fonts, graphics, text, writer
+from quirelake.kernel import bilevel, calculator, content, crypto, document, edit, encodings, fax, filters, fonts, graphics, text, writer
 from quirelake.kernel.lexer import Lexer
 from quirelake.kernel.objects import Name, PdfError, Ref, Str, Stream, plain, show_number, show_text
 
@@ -59,6 +59,92 @@ def test_fax():
         assert [[bool(got[y * size + x // 8] >> (7 - x % 8) & 1) for x in range(w)] for y in range(len(rows))] == rows
 
 
+class Coder:
+    """The arithmetic encoder, for tests."""
+
+    def __init__(self):
+        self.code, self.span, self.left, self.out = 0, 0x8000, 12, bytearray(b"\0")
+
+    def _put(self):
+        if self.out[-1] == 0xFF:
+            self.out.append(self.code >> 20 & 255)
+            self.code, self.left = self.code & 0xFFFFF, 7
+            return
+        if self.code & 0x8000000:
+            self.out[-1] += 1
+            self.code &= 0x7FFFFFF
+            if self.out[-1] == 0xFF:
+                self.out.append(self.code >> 20 & 255)
+                self.code, self.left = self.code & 0xFFFFF, 7
+                return
+        self.out.append(self.code >> 19 & 255)
+        self.code, self.left = self.code & 0x7FFFF, 8
+
+    def bit(self, contexts, k, d):
+        state, likely = contexts[k]
+        p, more, less, swap = bilevel.STATES[state]
+        self.span -= p
+        if d == likely:
+            if self.span & 0x8000:
+                self.code += p
+                return
+            if self.span < p:
+                self.span = p
+            else:
+                self.code += p
+            contexts[k] = (more, likely)
+        else:
+            if self.span < p:
+                self.code += p
+            else:
+                self.span = p
+            contexts[k] = (less, 1 - likely if swap else likely)
+        while not self.span & 0x8000:
+            self.span <<= 1
+            self.code <<= 1
+            self.left -= 1
+            if not self.left:
+                self._put()
+
+    def done(self):
+        top = self.code + self.span
+        self.code |= 0xFFFF
+        if self.code >= top:
+            self.code -= 0x8000
+        for _ in range(2):
+            self.code <<= self.left
+            self._put()
+        return bytes(self.out[1:]) + b"\xff\xac"
+
+
+def test_bilevel():
+    # The standard's own sequence for its coder.
+    coder, one = bilevel.Arithmetic(bytes.fromhex("84C73BFCE1A1430402200000410DBB86F4317FFF88FF37471ADB6ADFFFAC")), [(0, 0)]
+    bits = [coder.bit(one, 0) for _ in range(256)]
+    assert int("".join(map(str, bits)), 2).to_bytes(32, "big").hex().upper() == "00020051000000C0035287 2AAAAAAAAA82C02000FCD79EF6BF7FED904F46A3BF".replace(" ", "")
+    rnd = random.Random(3)
+    for template, adaptive in ((0, [(3, -1), (-3, -1), (2, -2), (-2, -2)]), (1, [(3, -1)]), (2, [(2, -1)]), (3, [(2, -1)])):
+        w, h = 37, 9
+        image = [[int(rnd.random() < 0.3 or x % 7 == y) for x in range(w)] for y in range(h)]
+        enc, pixels = Coder(), bilevel.context_pixels(template, adaptive)
+        contexts = [(0, 0)] * (1 << len(pixels))
+        at = lambda x, y: image[y][x] if 0 <= y and 0 <= x < w else 0  # noqa: E731, B023
+        for y in range(h):
+            for x in range(w):
+                k = 0
+                for dx, dy in pixels:
+                    k = k << 1 | at(x + dx, y + dy)
+                enc.bit(contexts, k, image[y][x])
+        body = w.to_bytes(4, "big") + h.to_bytes(4, "big") + bytes(8) + bytes([0, template << 1]) + bytes(v & 255 for p in adaptive for v in p) + enc.done()
+        page = w.to_bytes(4, "big") + h.to_bytes(4, "big") + bytes(11)
+        data = b"".join(n.to_bytes(4, "big") + bytes([kind, 0, 1]) + len(d).to_bytes(4, "big") + d for n, kind, d in ((0, 48, page), (1, 38, body)))
+        got = bilevel.decode_bilevel(data)
+        size = (w + 7) // 8
+        assert [[1 - (got[y * size + x // 8] >> (7 - x % 8) & 1) for x in range(w)] for y in range(h)] == image
+    with pytest.raises(PdfError):
+        bilevel.decode_bilevel(b"\0\0\0\0\6\0\1\0\0\0\0")
+
+
 def test_cipher_vectors():
     block = bytes.fromhex("00112233445566778899aabbccddeeff")
     assert crypto.Aes(bytes(range(16))).block(block).hex() == "69c4e0d86a7b0430d8cdb78070b4c55a"
