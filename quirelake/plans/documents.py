@@ -110,6 +110,22 @@ def pdf_instruction_counts(spark, d):
     return i.where(F.col("op").isin("BT", "ET", "Tf", "Td")).groupBy("doc_id", "op", "category").agg(F.count("*").alias("n"))
 
 
+@query("SELECT doc_id, '1.7' AS version, true AS same_start FROM documents")
+def pdf_header(spark, d):
+    files = generated.documents_as_files(read(spark, d, "documents"))
+    native = files.select("doc_id", pdf.header_version(F.col("content")).alias("version"), pdf.start_offset(F.col("content")).alias("start"))
+    parsed = pdf.relation(files, "documents_meta").select("doc_id", "start_xref")
+    return native.join(parsed, "doc_id").select("doc_id", "version", (F.col("start") == F.col("start_xref")).alias("same_start"))
+
+
+@query("SELECT v.category, sum(p * k)::BIGINT AS n FROM (SELECT count(*) AS p FROM conversations), (VALUES ('text_object', 2), ('text_positioning', 1), ('text_state', 2), ('text_showing', 1)) v(category, k) GROUP BY 1")
+def pdf_operator_categories(spark, d):
+    lines = read(spark, d, "conversations").withColumn("text", F.lit("one line"))
+    i = pdf.relation(generated.turns_as_files(lines), "instructions").select("op")
+    dim = pdf.operator_dim(spark)
+    return i.join(F.broadcast(dim), "op").where("operand_count IS NOT NULL").groupBy("category").agg(F.count("*").alias("n"))
+
+
 def _inherit(doc_id, items):
     from quirelake.kernel.writer import Builder
 

@@ -17,7 +17,7 @@ import json
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quirelake.sources.shipping import ship
@@ -213,3 +213,24 @@ def spread(files: DataFrame, each: int = 64 << 20) -> DataFrame:
     """files dealt out anew by size, for tables whose few partitions hold large files."""
     total = files.agg(F.sum(F.octet_length("content"))).first()[0] or 0
     return files.repartition(max(files.sparkSession.sparkContext.defaultParallelism, -(-total // each)), "doc_id")
+
+
+def header_version(content) -> Column:
+    """The version in a file's first 20 bytes, without Python; null if there is none."""
+    head = F.decode(F.substring(content, 1, 20), "ISO-8859-1")
+    return F.nullif(F.regexp_extract(head, r"%PDF-(\d+\.\d+)", 1), F.lit(""))
+
+
+def start_offset(content) -> Column:
+    """The last startxref within a file's last 1,024 bytes, without Python; null if there is none or no end mark."""
+    tail = F.decode(F.substring(content, -1024, 1024), "ISO-8859-1")
+    found = F.regexp_extract_all(tail, F.lit(r"startxref\s+(\d+)"), 1)
+    return F.when(tail.contains("%%EOF") & (F.size(found) > 0), F.element_at(found, -1).cast("bigint"))
+
+
+def operator_dim(spark: SparkSession) -> DataFrame:
+    """op, category, operand_count (null: any), description of all operators: 71 rows."""
+    from quirelake.kernel.content import OPERATORS
+
+    rows = [(op, category, n if n >= 0 else None, what) for op, (category, n, what) in OPERATORS.items()]
+    return spark.createDataFrame(rows, "op string, category string, operand_count int, description string")
