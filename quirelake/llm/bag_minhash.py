@@ -12,12 +12,16 @@ Jaccard similarity. A text's processes are followed only as long as a point can
 still lower a slot.
 
 Bands of the signature give buckets. Texts with equal multisets are collapsed
-first. In a bucket all rows are compared with a pivot; a row that the triangle
-inequality of the Jaccard distance rules out for all rows close to the pivot is
-done with them, and the rest goes on to a next round with other pivots, until
-no bucket has two rows left. No pairs within a bucket are listed beyond those.
-Each pair is verified once, by exact multiset overlap. Verified links give
-connected components by alternating large and small stars.
+first. In a bucket all rows are compared with a pivot, the row with the most
+company in its buckets: mostly the text that the others are copies of. Each
+such pair is verified once, by exact multiset overlap, and verified links give
+connected components by alternating large and small stars. That leaves pairs of
+a bucket in different components. They are not listed: their rows lie together
+by bucket (a large bucket in blocks), each pair is looked at in the first of the
+buckets that it shares, and is compared by sketch (a byte for each slot). Pairs
+whose sketches agree as those of similar texts do, up to FAR standard deviations
+less, are compared by their multisets in 32 bits there and then, and only those
+that are similar come out, are verified as well, and join components.
 
 Null or empty texts, and texts of white space, have no shingle and are classes
 of their own. Rows with the same doc_id are one node, whichever texts they
@@ -39,6 +43,10 @@ from .common import narrow, table, written
 
 WORDS, SIMILARITY = 5, 0.8
 BANDS, ROWS = 25, 5
+#: Standard deviations below the expected agreement of sketches at which a pair is passed over (one in three million).
+FAR = 5.0
+#: Rows of a bucket that are compared with each other at a time.
+BLOCK = 2_048
 #: Ids are broadcast up to this many (16 bytes each); beyond it the join shuffles.
 BROADCAST_IDS = 1_000_000
 U = np.uint64
@@ -154,38 +162,41 @@ def _batches(texts: list[str], most: int = 1 << 21) -> Iterator[tuple[int, int]]
 
 
 def sketches(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """id, digest (of the multiset; null without shingles), keys (one for each band)."""
+    """id, digest (of the multiset; null without shingles), keys (one for each band), sketch (a byte for each slot)."""
 
-    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def made_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, texts = batch.column("doc_id"), batch.column("text").to_pylist()
             for a, b in _batches(texts):
                 bags = [np.unique(h, return_counts=True) for h in shingle_hashes(texts[a:b])]
                 full = [i for i, (h, _) in enumerate(bags) if len(h)]
-                digests, keys = [None] * len(bags), [None] * len(bags)
+                digests, keys, short = [None] * len(bags), [None] * len(bags), [None] * len(bags)
                 if full:
-                    found = band_keys(signatures([bags[i] for i in full], bands * rows), bands, rows).view(np.int64)
-                    for i, own in zip(full, found, strict=True):
+                    made = signatures([bags[i] for i in full], bands * rows)
+                    found, bytes_ = band_keys(made, bands, rows).view(np.int64), mix(made).astype(np.uint8)
+                    for i, own, sketch in zip(full, found, bytes_, strict=True):
+                        short[i] = sketch.tobytes()
                         digests[i] = hashlib.blake2b(bags[i][0].tobytes() + bags[i][1].tobytes(), digest_size=16).digest()
                         keys[i] = own
-                yield pa.RecordBatch.from_arrays([ids[a:b], pa.array(digests, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["id", "digest", "keys"])
+                yield pa.RecordBatch.from_arrays([ids[a:b], pa.array(digests, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(short, pa.binary())], ["id", "digest", "keys", "sketch"])
 
-    return narrow(docs).where("doc_id IS NOT NULL").mapInArrow(sketch, "id bigint, digest binary, keys array<bigint>")
+    return narrow(docs).where("doc_id IS NOT NULL").mapInArrow(made_of, "id bigint, digest binary, keys array<bigint>, sketch binary")
 
 
 def bags(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """id, elements (the multiset as a set of 64-bit numbers) of the rows of docs named in ids (id)."""
+    """id, elements (the multiset as a set of 64-bit numbers), short (32 bits of each) of the rows of docs named in ids (id)."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column("text").to_pylist()
             for a, b in _batches(texts):
                 own = [expanded(*np.unique(h, return_counts=True)).view(np.int64) for h in shingle_hashes(texts[a:b])]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id")[a:b], pa.array(own, pa.list_(pa.int64()))], ["id", "elements"])
+                short = [np.sort(x.view(U).astype("<u4")).tobytes() for x in own]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id")[a:b], pa.array(own, pa.list_(pa.int64())), pa.array(short, pa.binary())], ["id", "elements", "short"])
 
     few = ids.count() <= BROADCAST_IDS
     named = ids.select(F.col("id").alias("doc_id"))
-    return narrow(docs).join(F.broadcast(named) if few else named, "doc_id", "left_semi").mapInArrow(each, "id bigint, elements array<bigint>")
+    return narrow(docs).join(F.broadcast(named) if few else named, "doc_id", "left_semi").mapInArrow(each, "id bigint, elements array<bigint>, short binary")
 
 
 def verified(pairs: DataFrame, elements: DataFrame) -> DataFrame:
@@ -197,41 +208,71 @@ def verified(pairs: DataFrame, elements: DataFrame) -> DataFrame:
     return found.groupBy("a", "b").agg(F.max("similarity").alias("similarity"))
 
 
-def links(members: DataFrame, docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """Verified links (a, b, similarity) that connect all rows which share a bucket and are similar; members: bucket, id."""
-    far = 2 * (1 - similarity)
-    pivots = written(members.groupBy("bucket").agg(F.min("id").alias("pivot"), F.max("id").alias("other")).where("pivot < other").select("bucket", "pivot"), "pivots")
-    left = written(members.join(pivots, "bucket").select("bucket", "id", F.lit(True).alias("open")), "members")
+def alike(rows: DataFrame, least: int, similarity: float) -> DataFrame:
+    """a, b of the pairs of a bucket and block in different components that are similar, each from the first bucket that it shares.
+
+    rows: bucket, band, block, id, other, component, sketch, keys, short. They have to lie together by bucket and block and be sorted by them; other is true for rows that only stand for another block. least: bytes of two sketches that have to agree.
+    """
+
+    def compare(band: int, held: list[tuple]) -> pa.RecordBatch:
+        ids, comps, other = (np.array([r[k] for r in held]) for k in (0, 1, 2))
+        sketch = np.frombuffer(b"".join(r[3] for r in held), np.uint8).reshape(len(held), -1)
+        keys = np.array([r[4] for r in held], np.int64)[:, :band]
+        sets = [np.frombuffer(r[5], "<u4") for r in held]
+        own, a, b = np.flatnonzero(~other), [], []
+        for i in own:
+            j = np.flatnonzero((comps != comps[i]) & ((ids > ids[i]) | other))
+            j = j[(sketch[j] == sketch[i]).sum(axis=1) >= least]
+            j = j[~(keys[j] == keys[i]).any(axis=1)]
+            for k in j:
+                x, y = sets[i], sets[k]
+                both = len(np.intersect1d(x, y))
+                # Two elements may have met in 32 bits, in either set.
+                if both + 2 >= similarity * (len(x) + len(y) - both - 2):
+                    a.append(min(ids[i], ids[k]))
+                    b.append(max(ids[i], ids[k]))
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held = None, []
+        for batch in batches:
+            for bucket, band, block, *row in zip(*(batch.column(c).to_pylist() for c in ("bucket", "band", "block", "id", "component", "other", "sketch", "keys", "short")), strict=True):
+                if (bucket, band, block) != key:
+                    if len(held) > 1:
+                        yield compare(key[1], held)
+                    key, held = (bucket, band, block), []
+                held.append(row)
+        if len(held) > 1:
+            yield compare(key[1], held)
+
+    return rows.mapInArrow(each, "a bigint, b bigint")
+
+
+def links(members: DataFrame, about: DataFrame, docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """Verified links (a, b) that connect all rows which share a bucket and are similar; members: bucket, band, id; about: id, sketch, keys."""
+    sizes = written(members.groupBy("bucket").agg(F.count("*").alias("n"), F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("bucket", "n"), "buckets")
+    left = written(members.join(sizes, "bucket"), "members")
+    company = left.groupBy("id").agg(F.sum("n").alias("company"))
+    pivots = written(left.join(company, "id").groupBy("bucket").agg(F.max_by("id", F.struct("company", -F.col("id"))).alias("pivot")), "pivots")
     elements = written(bags(docs, left.select("id").distinct()), "bags")
-    tested = None
-    salts = 1
-    while True:
-        # Each bucket has a pivot for each salt; every row is compared with all of them.
-        pivots = left.where("open").groupBy("bucket", F.pmod(F.xxhash64("id"), F.lit(salts)).alias("salt"))
-        pivots = written(pivots.agg(F.min("id").alias("pivot")), "pivots")
-        rows = left.join(pivots, "bucket").where("id <> pivot").select("bucket", "id", "pivot", F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b"))
-        rows = written(rows, "rows")
-        if rows.isEmpty():
-            break
-        pairs = rows.select("a", "b").distinct()
-        if tested is not None:
-            pairs = pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")
-        new = written(verified(pairs, elements), "links")
-        tested = new if tested is None else tested.unionByName(new)
-        # What is left of a bucket: rows no pivot is similar to (open), and similar ones that one of those may yet reach.
-        seen = rows.join(tested, ["a", "b"]).withColumn("gap", 1 - F.col("similarity"))
-        seen = seen.groupBy("bucket", "id").agg(F.min("gap").alias("gap"))
-        chosen = pivots.select("bucket", F.col("pivot").alias("id")).distinct()
-        seen = written(seen.join(chosen, ["bucket", "id"], "left_anti"), "gaps")
-        near = seen.where(F.col("gap") > 1 - similarity).groupBy("bucket").agg(F.count("*").alias("n"), F.min("gap").alias("nearest"))
-        near = written(near, "open")
-        left = seen.join(near, "bucket").withColumn("open", F.col("gap") > 1 - similarity)
-        reach = (F.col("nearest") <= far + 1e-9) & (F.col("gap") >= F.col("nearest") - (1 - similarity) - 1e-9)
-        left = written(left.where(F.col("open") | reach).select("bucket", "id", "open"), "members")
-        salts = min(salts * 2, 64)
-    if tested is None:
-        return elements.select(F.col("id").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("similarity")).limit(0)
-    return tested.where(F.col("similarity") >= similarity)
+    to_pivot = left.join(pivots, "bucket").where("id <> pivot").select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct()
+    tested = written(verified(written(to_pivot, "pairs"), elements), "links")
+    near = tested.where(F.col("similarity") >= similarity).select("a", "b")
+    # What is left: rows of buckets of three or more that lie in different components.
+    found = written(components(near), "parts")
+    apart = left.where("n > 2").join(found, "id", "left").select("bucket", "band", "id", "n", F.coalesce("class_id", "id").alias("component"))
+    apart = written(apart, "apart")
+    several = apart.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("bucket")
+    apart = apart.join(several, "bucket")
+    carried = about.join(elements.select("id", "short"), "id")
+    # A large bucket is cut into blocks; a row meets its own block, and stands for it in the blocks before.
+    blocks, own = F.ceil(F.col("n") / BLOCK).cast("int"), F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / BLOCK)).cast("int")
+    apart = apart.withColumn("own", own).withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1))).where("block <= own").withColumn("other", F.col("block") != F.col("own"))
+    apart = apart.join(carried, "id").select("bucket", "band", "block", "id", "component", "other", "sketch", "keys", "short").repartition("bucket", "block").sortWithinPartitions("bucket", "band", "block")
+    slots = BANDS * ROWS
+    least = int(slots * similarity - FAR * (slots * similarity * (1 - similarity)) ** 0.5)
+    more = written(alike(apart, least, similarity).distinct().join(tested.select("a", "b"), ["a", "b"], "left_anti"), "more")
+    return near.unionByName(written(verified(more, elements), "links").where(F.col("similarity") >= similarity).select("a", "b"))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -251,7 +292,7 @@ def components(edges: DataFrame) -> DataFrame:
 
     mark = None
     while True:
-        own = written(star(written(star(own, True), "large"), False), "small")
+        own = written(star(star(own, True), False), "small")
         now = tuple(own.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == mark:
             return own.groupBy("u").agg(F.min("v").alias("class_id")).withColumnRenamed("u", "id").unionByName(own.select(F.col("v").alias("id"), F.col("v").alias("class_id")).distinct())
@@ -261,10 +302,11 @@ def components(edges: DataFrame) -> DataFrame:
 def near_dedup(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """doc_id, class_id (least doc_id of the class), class_size for each row of docs (doc_id, text)."""
     sketched = written(sketches(docs), "sketches")
-    reps = sketched.where("digest IS NOT NULL").groupBy("digest").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.first("keys").alias("keys"))
+    reps = sketched.where("digest IS NOT NULL").groupBy("digest").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch"))
     reps = written(reps, "representatives")
-    members = reps.select(F.explode("keys").alias("bucket"), F.col("rep").alias("id"))
-    found = written(components(links(members, docs, similarity)), "components")
+    members = reps.select(F.posexplode("keys").alias("band", "bucket"), F.col("rep").alias("id"))
+    about = reps.select(F.col("rep").alias("id"), "sketch", "keys")
+    found = written(components(links(members, about, docs, similarity)), "components")
     classes = reps.select("digest", F.col("rep").alias("id"), "copies").join(found, "id", "left").select("digest", F.coalesce("class_id", "id").alias("class_id"), "copies")
     classes = written(classes, "classes")
     sizes = written(classes.groupBy("class_id").agg(F.sum("copies").alias("class_size")).where("class_size > 1"), "sizes")
