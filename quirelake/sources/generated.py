@@ -12,15 +12,20 @@ from quirelake.sources.shipping import ship
 
 
 def made(rows: DataFrame, build: Callable[..., bytes], *columns: str) -> DataFrame:
-    """doc_id, content: build(doc_id, *values of columns) for each row."""
-    ship(rows.sparkSession)
+    """doc_id, content: build(doc_id, *values of columns) for each row.
+
+    Rows are dealt out by doc_id first: a table of few row groups would be built, and then read, by as few tasks.
+    """
+    spark = rows.sparkSession
+    ship(spark)
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             values = zip(*(batch[c] for c in ("doc_id", *columns)), strict=True)
             yield pd.DataFrame({"doc_id": batch["doc_id"], "content": [build(*v) for v in values]})
 
-    return rows.select("doc_id", *columns).mapInPandas(each, "doc_id bigint, content binary")
+    return rows.select("doc_id", *columns).repartition(tasks, "doc_id").mapInPandas(each, "doc_id bigint, content binary")
 
 
 def gathered(rows: DataFrame, key: str, order: list[str], *columns: str) -> DataFrame:
