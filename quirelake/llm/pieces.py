@@ -27,21 +27,27 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import narrow, table, vocabulary
 
-LIMIT = 250_000
+LIMIT = 200_000
 MARK = "▁"
 CHUNKS = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 
 
 class _Cached(dict):
+    """What make gives, for LIMIT keys at least; the older half goes when it is full. Watched: new keys are listed in fresh."""
+
     def __init__(self, make, watched=False):
-        self.make, self.watched, self.fresh = make, watched, []
+        self.make, self.watched, self.fresh, self.older = make, watched, [], {}
 
     def __missing__(self, chunk):
         if len(self) >= LIMIT:
+            self.older = dict(self)
             self.clear()
-        got = self[chunk] = self.make(chunk)
-        if self.watched:
-            self.fresh.append((chunk, got))
+        got = self.older.get(chunk)
+        if got is None:
+            got = self.make(chunk)
+            if self.watched:
+                self.fresh.append((chunk, got))
+        self[chunk] = got
         return got
 
 
