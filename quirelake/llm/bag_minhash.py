@@ -152,7 +152,7 @@ def band_keys(signature: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return out
 
 
-def _batches(texts: list[str], most: int = 1 << 21) -> Iterator[tuple[int, int]]:
+def _batches(texts: list[str], most: int = 1 << 20) -> Iterator[tuple[int, int]]:
     start = held = 0
     for i, t in enumerate(texts):
         held += len(t)

@@ -271,7 +271,7 @@ def scored(docs: DataFrame, field: LineField) -> DataFrame:
             start, held = 0, 0
             for i, t in enumerate(texts):
                 held += len(t)
-                if held >= 1 << 22 or i == len(texts) - 1:
+                if held >= 1 << 20 or i == len(texts) - 1:
                     out[start : i + 1] = field.score(texts[start : i + 1])
                     start, held = i + 1, 0
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out)], [*batch.schema.names, "quality_score"])

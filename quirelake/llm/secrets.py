@@ -114,8 +114,12 @@ def train(texts: list[str]) -> Markov:
 
 
 def sample_texts(docs: DataFrame, n: int = SAMPLE_DOCS) -> list[str]:
-    """At most n texts, by a hash of doc_id: the same rows whatever the partitions."""
-    return [r.text for r in narrow(docs).orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")).limit(n).select("text").collect()]
+    """A text of each of at most n documents, chosen by a hash of doc_id: the same rows whatever the partitions."""
+    docs = narrow(docs).where("doc_id IS NOT NULL")
+    # Ids alone are sorted and sent around; n rows at most are broadcast.
+    few = docs.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
+    rows = docs.join(F.broadcast(few), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text")).orderBy("doc_id").collect()
+    return [r.text for r in rows]
 
 
 def find_secrets(docs: DataFrame, model: Markov | None = None) -> DataFrame:
@@ -143,26 +147,23 @@ def find_secrets(docs: DataFrame, model: Markov | None = None) -> DataFrame:
 def redacted(docs: DataFrame, mark: str = "[SECRET]", model: Markov | None = None) -> DataFrame:
     """docs with each span of a secret (overlapping ones joined) replaced by the mark; n_chars follows where there is one."""
     columns = docs.columns
-    found = find_secrets(docs, model)
+    model = model or train(sample_texts(docs))
 
-    def cut(texts, starts, ends):
-        out = []
-        for text, a, b in zip(texts, starts, ends, strict=True):
-            done, parts = 0, []
-            for s, e in zip(a, b, strict=True):
-                if s >= done:
-                    parts += [text[done:s], mark]
-                done = max(done, e)
-            out.append("".join([*parts, text[done:]]))
-        return out
+    def cut(text: str) -> str:
+        base = base_spans(text)
+        done, parts = 0, []
+        for start, _, end in sorted(base + model.spans(text, base)):
+            if start >= done:
+                parts += [text[done:start], mark]
+            done = max(done, end)
+        return "".join([*parts, text[done:]])
 
     def blank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            starts = batch.column("starts").to_pylist()
-            text = pa.array(cut(batch.column("text").to_pylist(), starts, batch.column("ends").to_pylist()), pa.string())
+            text = pa.array([cut(t.as_py() or "") for t in batch.column("text")], pa.string())
             yield pa.RecordBatch.from_arrays([text if c == "text" else batch.column(c) for c in columns], columns)
 
-    out = found.mapInArrow(blank, docs.schema)
+    out = docs.mapInArrow(blank, docs.schema)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in columns else out
 
 
