@@ -176,35 +176,47 @@ def pdf_revisions(spark, d):
 
 
 def _fonts(doc_id, text):
-    """The text's first line in one of three kinds of font, by doc_id."""
+    """Every line of the text in one of three kinds of font, by doc_id; the table of codes has the letters of the whole text."""
     from quirelake.kernel.content import Instruction, serialize
     from quirelake.kernel.objects import Name, Str, Stream
     from quirelake.kernel.writer import Builder
 
-    b, kind, line = Builder(), int(doc_id) % 3, (text or "").split("\n")[0]
-    letters = sorted(set(line))
+    b, kind, lines = Builder(), int(doc_id) % 3, (text or "").split("\n")
+    letters = sorted(set().union(*lines))
+    code = {c: i for i, c in enumerate(letters, 1)}
+    if kind < 2 and len(letters) > 255:
+        raise ValueError(f"{len(letters)} letters for codes of one byte")
     if kind == 0:  # codes from 1 on, named by Differences
         font = {"Type": Name("Font"), "Subtype": Name("Type1"), "BaseFont": Name("Own"), "Encoding": {"Type": Name("Encoding"), "Differences": [1, *(Name(f"uni{ord(c):04X}") for c in letters)]}}
-        raw = bytes(1 + letters.index(c) for c in line)
-    elif kind == 1:  # codes from 1 on, mapped by ToUnicode
-        rows = b"\n".join(b"<%02X> <%04X>" % (i + 1, ord(c)) for i, c in enumerate(letters))
-        cmap = b.add(Stream({}, b"1 begincodespacerange <00> <FF> endcodespacerange %d beginbfchar\n%s\nendbfchar" % (len(letters), rows)))
+        raw = lambda line: bytes(code[c] for c in line)
+    elif kind == 1:  # codes from 1 on, mapped by ToUnicode, 100 to a block
+        rows = [b"<%02X> <%04X>" % (i, ord(c)) for c, i in code.items()]
+        blocks = [b"%d beginbfchar\n%s\nendbfchar" % (len(own), b"\n".join(own)) for k in range(0, len(rows), 100) for own in [rows[k : k + 100]]]
+        cmap = b.add(Stream({}, b"\n".join([b"1 begincodespacerange <00> <FF> endcodespacerange", *blocks])))
         font = {"Type": Name("Font"), "Subtype": Name("TrueType"), "BaseFont": Name("Own"), "ToUnicode": cmap}
-        raw = bytes(1 + letters.index(c) for c in line)
+        raw = lambda line: bytes(code[c] for c in line)
     else:  # two-byte codes, mapped by ranges
         cmap = b.add(Stream({}, b"1 begincodespacerange <0000> <FFFF> endcodespacerange 1 beginbfrange <0000> <00FF> <0000> endbfrange"))
         kid = b.add({"Type": Name("Font"), "Subtype": Name("CIDFontType2"), "BaseFont": Name("Own"), "CIDSystemInfo": {"Registry": Str(b"Adobe"), "Ordering": Str(b"Identity"), "Supplement": 0}, "DW": 500})
         font = {"Type": Name("Font"), "Subtype": Name("Type0"), "BaseFont": Name("Own"), "Encoding": Name("Identity-H"), "DescendantFonts": [kid], "ToUnicode": cmap}
-        raw = line.encode("utf-16-be")
-    body = serialize([Instruction("BT"), Instruction("Tf", [Name("F1"), 10]), Instruction("Tj", [Str(raw)]), Instruction("ET")])
-    b.page(body, ["FlateDecode"], resources={"Font": {"F1": b.add(font)}})
+        raw = lambda line: line.encode("utf-16-be")
+    out = [Instruction("BT"), Instruction("Tf", [Name("F1"), 10]), Instruction("TL", [12]), Instruction("Td", [36, 756])]
+    for i, line in enumerate(lines):
+        out += [Instruction("T*")] * bool(i) + ([Instruction("Tj", [Str(raw(line))])] if line else [])
+    b.page(serialize([*out, Instruction("ET")]), ["FlateDecode"], resources={"Font": {"F1": b.add(font)}})
     return b.build()
 
 
 @query("SELECT doc_id, md5(string_split(text, chr(10))[1]) AS text_md5 FROM documents WHERE string_split(text, chr(10))[1] <> ''")
 def pdf_fonts(spark, d):
-    files = generated.made(read(spark, d, "documents"), _fonts, "text")
-    return _texts(files).select("doc_id", F.md5("text").alias("text_md5"))
+    """What the first line shows; pdf_fonts_lines compares all lines of the same files."""
+    e = pdf.relation(generated.made(read(spark, d, "documents"), _fonts, "text"), "text_elements")
+    return e.where("y = 756").select("doc_id", F.md5("text").alias("text_md5"))
+
+
+@query(ROUND_TRIP)
+def pdf_fonts_lines(spark, d):
+    return _read_back(generated.made(read(spark, d, "documents"), _fonts, "text"))
 
 
 def _kerning(doc_id, items):

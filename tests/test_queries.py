@@ -7,7 +7,9 @@ import os
 import duckdb
 import pytest
 
-from quirelake.plans import catalog
+from quirelake.kernel import document
+from quirelake.kernel.text import page_text
+from quirelake.plans import catalog, documents
 
 D = "/root/testdata/sf0.001"
 
@@ -33,3 +35,11 @@ def test_against_sql(spark, duck, name):
     assert sorted(want.columns) == columns
     rows = lambda rs, names: sorted((tuple(plain(r[names.index(c)]) for c in columns) for r in rs), key=repr)
     assert rows([tuple(r) for r in df.collect()], df.columns) == rows(want.fetchall(), want.columns)
+
+
+@pytest.mark.parametrize("kind", range(3))
+def test_fonts_show_every_line(kind):
+    every = "".join(chr(c) for c in range(256) if c != 10)
+    for text in ("one\n\ntwo é\nthree", "\nsecond", every + "\nab", "", None):
+        got = document.parse(documents._fonts(kind, text))
+        assert [e.text for e in page_text(got, got.pages()[0]).elements] == [x for x in (text or "").split("\n") if x]
