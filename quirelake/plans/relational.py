@@ -231,13 +231,23 @@ def rect_contains(spark, d):
 RECTS = "r AS (SELECT vec_id AS id, least(x, x + w) AS llx, least(y, y + h) AS lly, greatest(x, x + w) AS urx, greatest(y, y + h) AS ury FROM (SELECT vec_id, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y, embedding[3]::DOUBLE AS w, embedding[4]::DOUBLE AS h FROM embeddings))"
 
 
+def _rects(spark: SparkSession, d: str) -> DataFrame:
+    v = [F.get("embedding", F.lit(i)).cast("double") for i in range(4)]
+    return read(spark, d, "embeddings").select(F.col("vec_id").alias("id"), geometry.rect(v[0], v[1], v[0] + v[2], v[1] + v[3]).alias("r"))
+
+
 @query(f"WITH {RECTS} SELECT a.id AS a_id, b.id AS b_id FROM r a, r b WHERE a.id % 2 = 0 AND b.id % 2 = 1 AND NOT (a.urx < b.llx OR b.urx < a.llx OR a.ury < b.lly OR b.ury < a.lly)")
 def rect_intersects(spark, d):
-    v = [F.get("embedding", F.lit(i)).cast("double") for i in range(4)]
-    r = read(spark, d, "embeddings").select(F.col("vec_id").alias("id"), geometry.rect(v[0], v[1], v[0] + v[2], v[1] + v[3]).alias("r"))
+    """Pairs of an even and an odd id; rect_intersects_all has those of all rows."""
+    r = _rects(spark, d)
     return ranges.overlapping(r.where("id % 2 = 0"), r.where("id % 2 = 1"), 0.05)
 
 
+@query(f"WITH {RECTS} SELECT a.id AS a_id, b.id AS b_id FROM r a, r b WHERE a.id < b.id AND NOT (a.urx < b.llx OR b.urx < a.llx OR a.ury < b.lly OR b.ury < a.lly)")
+def rect_intersects_all(spark, d):
+    return ranges.overlapping_pairs(_rects(spark, d), 0.05)
+
+
 @query("SELECT p_partkey, label FROM part LEFT JOIN (VALUES (1, 9, 'small'), (10, 24, 'medium'), (25, 49, 'large')) t(lo, hi, label) ON p_size BETWEEN lo AND hi")
 def range_lookup(spark, d):
     t = spark.createDataFrame([(1, 9, "small"), (10, 24, "medium"), (25, 49, "large")], "lo int, hi int, label string")

@@ -105,6 +105,14 @@ def test_nulls_and_ties(spark):
     assert sorted((r.v or -1, r.label or "") for r in ranges.range_lookup(values, "v", t, 4).collect()) == [(-1, ""), (5, "low"), (9, "low"), (9, "wide"), (41, "")]
 
 
+def test_overlapping_pairs_of_one_table(spark):
+    box = lambda i, *r: (i, dict(zip(("llx", "lly", "urx", "ury"), map(float, r), strict=True)))
+    rows = [box(2, 0, 0, 1, 1), box(4, 1, 1, 2, 2), box(5, 0, 0, 2, 2), box(5, 0, 0, 1, 1), box(7, 8, 8, 9, 9), box(9, 9, 8, 9, 9), box(None, 0, 0, 9, 9)]
+    df = spark.createDataFrame(rows, "id long, r struct<llx: double, lly: double, urx: double, ury: double>")
+    # Even ids pair, odd ids pair, both rows of id 5 pair with others and not with each other.
+    assert sorted(map(tuple, ranges.overlapping_pairs(df, 0.5).collect())) == [(2, 4), (2, 5), (2, 5), (4, 5), (4, 5), (7, 9)]
+
+
 def test_literal_search(spark):
     df = spark.createDataFrame([("a.b A.B \\E $1",)], "t string")
     got = df.select(search.occurrences(F.col("t"), "a.b", True).alias("n"), search.replaced(F.col("t"), "A.b", "$0\\", True).alias("r"), search.occurrences(F.col("t"), "\\E").alias("e")).first()
