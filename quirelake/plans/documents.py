@@ -70,7 +70,7 @@ def pdf_decrypt(spark, d):
 
 @query("SELECT doc_id, 'password' AS error_class FROM documents")
 def pdf_wrong_password(spark, d):
-    files = generated.documents_as_files(read(spark, d, "documents").withColumn("text", F.lit("sealed")), encryption=True)
+    files = generated.documents_as_files(read(spark, d, "documents"), encryption=True)
     return pdf.relation(files, "documents_meta", password="wrong").select("doc_id", "error_class")
 
 
@@ -118,12 +118,23 @@ def pdf_header(spark, d):
     return native.join(parsed, "doc_id").select("doc_id", "version", (F.col("start") == F.col("start_xref")).alias("same_start"))
 
 
+def _categories(turns: DataFrame) -> DataFrame:
+    """category, n: operators of the turns' files."""
+    i = pdf.relation(generated.turns_as_files(turns), "instructions").select("op")
+    dim = pdf.operator_dim(turns.sparkSession)
+    return i.join(F.broadcast(dim), "op").where("operand_count IS NOT NULL").groupBy("category").agg(F.count("*").alias("n"))
+
+
 @query("SELECT v.category, sum(p * k)::BIGINT AS n FROM (SELECT count(*) AS p FROM conversations), (VALUES ('text_object', 2), ('text_positioning', 1), ('text_state', 2), ('text_showing', 1)) v(category, k) GROUP BY 1")
 def pdf_operator_categories(spark, d):
-    lines = read(spark, d, "conversations").withColumn("text", F.lit("one line"))
-    i = pdf.relation(generated.turns_as_files(lines), "instructions").select("op")
-    dim = pdf.operator_dim(spark)
-    return i.join(F.broadcast(dim), "op").where("operand_count IS NOT NULL").groupBy("category").agg(F.count("*").alias("n"))
+    """Over turns of one line; pdf_operator_categories_text has the turns' own texts."""
+    return _categories(read(spark, d, "conversations").withColumn("text", F.lit("one line")))
+
+
+@query("""WITH t AS (SELECT string_split(coalesce(text, ''), chr(10)) AS l FROM conversations), c AS (SELECT count(*) AS p, sum(len(l) - 1) AS moves, sum(len(list_filter(l, lambda x: x <> ''))) AS shown FROM t)
+SELECT v.category, v.n::BIGINT AS n FROM c, LATERAL (VALUES ('text_object', 2 * p), ('text_positioning', p + moves), ('text_state', 2 * p), ('text_showing', shown)) v(category, n) WHERE v.n > 0""")
+def pdf_operator_categories_text(spark, d):
+    return _categories(read(spark, d, "conversations"))
 
 
 def _inherit(doc_id, items):

@@ -43,3 +43,19 @@ def test_fonts_show_every_line(kind):
     for text in ("one\n\ntwo é\nthree", "\nsecond", every + "\nab", "", None):
         got = document.parse(documents._fonts(kind, text))
         assert [e.text for e in page_text(got, got.pages()[0]).elements] == [x for x in (text or "").split("\n") if x]
+
+
+def test_operators_of_real_texts(spark):
+    turns = spark.createDataFrame([(1, 1, "user", "a\nb"), (1, 2, "bot", "c\n\nd"), (2, 1, "user", ""), (2, 2, "bot", None)], "conv_id long, turn long, role string, text string")
+    assert {r.category: r.n for r in documents._categories(turns).collect()} == {"text_object": 8, "text_state": 8, "text_positioning": 4 + 3, "text_showing": 4}
+
+
+@pytest.mark.parametrize("name,table", [("pdf_operator_categories_text", "conversations"), ("pdf_wrong_password", "documents")])
+def test_files_hold_the_real_texts(spark, monkeypatch, name, table):
+    seen = []
+    for maker in ("turns_as_files", "documents_as_files"):
+        made = getattr(documents.generated, maker)
+        monkeypatch.setattr(documents.generated, maker, lambda rows, *a, made=made, **k: (seen.append(rows), made(rows, *a, **k))[1])
+    documents.QUERIES[name](spark, D)
+    texts = lambda df: sorted(r.text for r in df.select("text").collect())
+    assert texts(seen[0]) == texts(spark.read.parquet(f"{D}/{table}.parquet"))
