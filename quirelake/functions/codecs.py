@@ -70,9 +70,9 @@ def key_parts(text: Column) -> tuple[Column, Column]:
 
 
 def show_number(x: Column) -> Column:
-    """Whole numbers without a point, others with six digits at most."""
+    """Whole numbers without a point, others with six digits at most; null stays null."""
     whole = (x == F.floor(x)) & (F.abs(x) < 1e15)
-    return F.when(whole, x.cast("bigint").cast("string")).otherwise(F.regexp_replace(F.format_string("%.6f", x), "\\.?0+$", ""))
+    return F.when(x.isNull(), None).when(whole, x.cast("bigint").cast("string")).otherwise(F.regexp_replace(F.format_string("%.6f", x), "\\.?0+$", ""))
 
 
 def soft_number(text: Column) -> Column:

@@ -344,9 +344,16 @@ def pdf_date_format(spark, d):
 
 @query("SELECT l_orderkey, l_linenumber, CASE WHEN l_quantity = floor(l_quantity) THEN cast(l_quantity::BIGINT AS VARCHAR) ELSE regexp_replace(printf('%.6f', l_quantity), '\\.?0+$', '') END AS q, regexp_replace(printf('%.6f', l_discount), '\\.?0+$', '') AS dsc FROM lineitem WHERE l_discount > 0")
 def number_format(spark, d):
+    """Of items with a discount; number_format_all has all of them."""
     return read(spark, d, "lineitem").where("l_discount > 0").select("l_orderkey", "l_linenumber", codecs.show_number(F.col("l_quantity")).alias("q"), codecs.show_number(F.col("l_discount")).alias("dsc"))
 
 
+@query("SELECT l_orderkey, l_linenumber, CASE WHEN l_quantity = floor(l_quantity) THEN cast(l_quantity::BIGINT AS VARCHAR) ELSE regexp_replace(printf('%.6f', l_quantity), '\\.?0+$', '') END AS q, CASE WHEN l_discount = floor(l_discount) THEN cast(l_discount::BIGINT AS VARCHAR) ELSE regexp_replace(printf('%.6f', l_discount), '\\.?0+$', '') END AS dsc FROM lineitem")
+def number_format_all(spark, d):
+    """Zero is '0', and null has no text."""
+    return read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", codecs.show_number(F.col("l_quantity")).alias("q"), codecs.show_number(F.col("l_discount")).alias("dsc"))
+
+
 @query("SELECT event_id, coalesce(try_cast(event_type AS DOUBLE), 0) AS a, coalesce(try_cast(cast(value AS VARCHAR) AS DOUBLE), 0) AS b FROM events")
 def soft_cast(spark, d):
     return read(spark, d, "events").select("event_id", codecs.soft_number(F.col("event_type")).alias("a"), codecs.soft_number(F.col("value").cast("string")).alias("b"))

@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import json
+import tempfile
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from quirelake.kernel import writer
 from quirelake.operators import ranges, search, state
+from quirelake.plans import relational
 from quirelake.sources import datasource, edits, endpoint, generated, pdf
 from quirelake.streaming import files as streaming
 
@@ -119,6 +122,17 @@ def test_literal_search(spark):
     assert (got.n, got.r, got.e) == (2, "$0\\ $0\\ \\E $1", 1)
 
 
+def test_numbers_shown(spark):
+    values = [0.0, -0.0, None, -0.05, -3.0, 0.1, 10.0, 2.5]
+    rows = spark.createDataFrame([(1, i, v, v) for i, v in enumerate(values)], "l_orderkey long, l_linenumber int, l_quantity double, l_discount double")
+    rows.write.mode("overwrite").parquet(d := tempfile.mkdtemp(prefix="spark-", dir="/tmp") + "/lineitem.parquet")
+    got = {r.l_linenumber: (r.q, r.dsc) for r in relational.number_format_all(spark, d.removesuffix("/lineitem.parquet")).collect()}
+    want = ["0", "0", None, "-0.05", "-3", "0.1", "10", "2.5"]
+    assert got == {i: (w, w) for i, w in enumerate(want)}
+    sql = duckdb.sql(relational.ORACLE_SQL["number_format_all"].replace("FROM lineitem", f"FROM '{d}/*.parquet'")).fetchall()
+    assert {r[1]: (r[2], r[3]) for r in sql} == got
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 
