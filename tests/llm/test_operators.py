@@ -283,6 +283,30 @@ def test_suffix_dedup(docs, texts, nothing):
     assert suffix_dedup.without_repeats(nothing).collect() == []
 
 
+def test_equal_segments_are_sorted_once(monkeypatch):
+    rnd = random.Random(8)
+    plain = [bytes(rnd.choice(b"abc") for _ in range(300)) for _ in range(4)]
+    texts = [rnd.choice(plain) for _ in range(200)] + [plain[0][:100] + b"+" + plain[1][100:], plain[2][7:90]]
+    ids = [rnd.randint(-5, 60) for _ in texts]
+    begin = np.array([rnd.randint(0, 9) for _ in texts])
+    blocks = []
+    for k in range(0, len(texts), 50):
+        own = texts[k : k + 50]
+        blocks.append(suffix_dedup.pickle.dumps((np.array(ids[k : k + 50]), np.arange(k, k + len(own)), begin[k : k + 50], np.array([len(t) for t in own]), b"".join(own)), 5))
+    seen: dict[bytes, int] = {}
+    for i, t in zip(ids, texts, strict=True):
+        for p in range(len(t) - 49):
+            seen[t[p : p + 50]] = min(seen.get(t[p : p + 50], i), i)
+    want = {(i, k, p + begin[k] + x) for k, (i, t) in enumerate(zip(ids, texts, strict=True)) for p in range(len(t) - 49) if seen[t[p : p + 50]] < i for x in range(50)}
+    sorted_bytes = []
+    monkeypatch.setattr(suffix_dedup, "suffix_order", lambda text, *a: (sorted_bytes.append(len(text)), induced.suffix_order(text, *a))[1])
+    for spread in (1 << 20, 7):
+        monkeypatch.setattr(suffix_dedup, "SPREAD", spread)
+        got = suffix_dedup.repeated(blocks)
+        assert {(r.doc_id, r.tag, x) for r in got.itertuples() for a, b in zip(r.starts, r.ends, strict=True) for x in range(a, b)} == want
+    assert max(sorted_bytes) < 2000 < sum(map(len, texts)) // 10
+
+
 def shingles(t: str | None) -> Counter:
     w = re.findall(r"[^\t-\r ]+", t or "")
     n = min(5, len(w))
