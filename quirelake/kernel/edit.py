@@ -8,7 +8,7 @@ from .content import Instruction, parse_content, serialize
 from .filters import encode
 from .fonts import Font, page_fonts
 from .graphics import drawn
-from .objects import Name, Ref, Str, Stream, number
+from .objects import Name, PdfError, Ref, Str, Stream, number
 from .writer import append_revision, write_file
 
 SHOWING = ("Tj", "TJ", "'", '"')
@@ -145,6 +145,88 @@ def without_image(instructions: list[Instruction], name: str) -> list[Instructio
     return out
 
 
+def _replace_in_object(instructions: list[Instruction], fonts: dict[str, Font], index: int, to: str) -> tuple[list[Instruction], int]:
+    """replace_in_object with text, written by the font in force there; text that it can't write changes nothing."""
+    at = -1
+    for i, font in with_fonts(instructions, fonts):
+        at += i.op == "BT"
+        if at == index and i.op == "Tj":
+            raw = font.encode(to)
+            return (instructions, 0) if raw is None else replace_in_object(instructions, index, raw)
+    return instructions, 0
+
+
+def _image(e: dict) -> Stream:
+    """The image of an edit: a JPEG file as it is, or else rows of 8-bit gray, RGB or CMYK samples of its width and height."""
+    data, w, h = bytes(e.get("image") or b""), int(number(e.get("width"))), int(number(e.get("height")))
+    if data[:2] == b"\xff\xd8":
+        w, h, n = _jpeg_size(data)
+    else:
+        n = len(data) // (w * h) if w > 0 and h > 0 else 0
+        if n not in (1, 3, 4) or len(data) != w * h * n:
+            raise PdfError("edit", f"{len(data)} bytes are no image of {w} x {h}")
+    space = {1: "DeviceGray", 3: "DeviceRGB", 4: "DeviceCMYK"}[n]
+    jpeg = data[:2] == b"\xff\xd8"
+    entries = {"Type": Name("XObject"), "Subtype": Name("Image"), "Width": w, "Height": h, "BitsPerComponent": 8, "ColorSpace": Name(space), "Filter": Name("DCTDecode" if jpeg else "FlateDecode")}
+    return Stream(entries, data if jpeg else encode(data, ["FlateDecode"]))
+
+
+def _jpeg_size(data: bytes) -> tuple[int, int, int]:
+    """Width, height and number of components by the frame header."""
+    at = 2
+    while at + 9 < len(data) and data[at] == 0xFF:
+        kind = data[at + 1]
+        if kind == 0xFF:  # fill
+            at += 1
+        elif 0xC0 <= kind <= 0xCF and kind not in (0xC4, 0xC8, 0xCC):
+            h, w, n = int.from_bytes(data[at + 5 : at + 7], "big"), int.from_bytes(data[at + 7 : at + 9], "big"), data[at + 9]
+            if w and h and n in (1, 3, 4):
+                return w, h, n
+            break
+        else:
+            at += 2 + int.from_bytes(data[at + 2 : at + 4], "big")
+    raise PdfError("edit", "JPEG file without a frame of 1, 3 or 4 components")
+
+
+def _closed(instructions: list[Instruction]) -> list[Instruction]:
+    """instructions in a q ... Q of their own, so that what follows is placed on the page itself."""
+    depth = 0
+    for i in instructions:
+        depth += (i.op == "q") - (i.op == "Q" and depth > 0)
+    return [Instruction("q"), *instructions, *[Instruction("Q")] * (depth + 1)] if instructions else []
+
+
+def replace_image(doc, page, name: str, image: Stream) -> tuple[int, dict[int, tuple[int, object]]]:
+    """Puts image in the place of the page's image of this name, wherever that object is drawn. Returns how many, and changed objects."""
+    objects = doc.get((doc.resources(page) or {}).get("XObject")) or {}
+    ref = objects.get(name)
+    old = doc.get(ref)
+    if not isinstance(ref, Ref) or not isinstance(old, Stream) or doc.get(old.dict.get("Subtype")) != "Image":
+        return 0, {}
+    stale = ("Filter", "DecodeParms", "Decode", "Length", "ImageMask", "Mask", "Intent")
+    new = Stream({k: v for k, v in old.dict.items() if k not in stale} | image.dict, image.raw)
+    real = doc.objects[ref.num][0]
+    doc.objects[ref.num] = (real, new)
+    return 1, {ref.num: (real.gen, new)}
+
+
+def add_image(doc, page, image: Stream) -> tuple[str, dict[int, tuple[int, object]]]:
+    """Gives a page an image under a name that its resources don't have: the name, and changed objects."""
+    resources = dict(doc.resources(page) or {})
+    objects = dict(doc.get(resources.get("XObject")) or {})
+    k = 1
+    while f"Im{k}" in objects:
+        k += 1
+    top = max(doc.objects, default=0) + 1
+    doc.objects[top] = (Ref(top), image)
+    # The page gets resources of its own: shared ones would name the image on other pages too.
+    page.dict["Resources"] = page.inherited["Resources"] = resources | {"XObject": objects | {f"Im{k}": Ref(top)}}
+    changed: dict[int, tuple[int, object]] = {top: (0, image)}
+    if page.ref is not None:
+        changed[page.ref.num] = (page.ref.gen, page.dict)
+    return f"Im{k}", changed
+
+
 def set_content(doc, page, instructions: list[Instruction], compress: bool = True) -> dict[int, tuple[int, object]]:
     """Changed objects that give a page this content as one stream."""
     data = serialize(instructions)
@@ -158,10 +240,16 @@ def set_content(doc, page, instructions: list[Instruction], compress: bool = Tru
     return changed
 
 
+#: Kinds of edit rows; any other is an error.
+KINDS = ("replace", "delete", "modify", "add", "rectangle", "line", "ellipse", "optimize", "delete_image", "replace_in_object", "replace_image", "add_image")
+
+
 def apply_edits(doc, edits: list[dict]) -> tuple[dict[int, tuple[int, object]], list[int]]:
     """Applies edit rows in order. Returns the changed objects and how much each edit changed."""
     pages, changed, counts = doc.pages(), {}, []
     for e in edits:
+        if e.get("kind") not in KINDS:
+            raise PdfError("edit", f"no edit of kind {e.get('kind')!r}")
         page = pages[e["page_index"]] if 0 <= (e.get("page_index") or 0) < len(pages) else None
         if page is None:
             counts.append(0)
@@ -186,8 +274,18 @@ def apply_edits(doc, edits: list[dict]) -> tuple[dict[int, tuple[int, object]],
         elif kind == "delete_image":
             after = without_image(before, search)
             n = len(before) - len(after)
-        else:
-            after, n = before, 0
+        elif kind == "replace_in_object":
+            after, n = _replace_in_object(before, fonts, int(number(e.get("index"))), to)
+        elif kind == "replace_image":
+            n, new = replace_image(doc, page, search, _image(e))
+            changed |= new
+            counts.append(n)
+            continue
+        else:  # add_image
+            name, new = add_image(doc, page, _image(e))
+            changed |= new
+            x, y, w, h = e["numbers"]
+            after, n = insert(_closed(before), [Instruction("q"), Instruction("cm", [w, 0, 0, h, x, y]), Instruction("Do", [Name(name)]), Instruction("Q")]), 1
         if n:
             changed |= set_content(doc, page, after)
         counts.append(n)

@@ -320,6 +320,36 @@ def test_edits_of_instructions():
     assert len(content.parse_content(content.serialize(graphics.drawn("ellipse", [0, 0, 1, 1], fill=(0, 0, 0))))) == 11
 
 
+def test_edits_of_images_and_objects():
+    b = writer.Builder()
+    im = b.add(Stream({"Type": Name("XObject"), "Subtype": Name("Image"), "Width": 1, "Height": 1, "BitsPerComponent": 8, "ColorSpace": Name("DeviceGray")}, b"\x07"))
+    shared = b.add({"XObject": {"Im1": im}, "Font": {"F1": b.default_font()}})
+    for _ in range(2):
+        b.page(b"2 0 0 2 0 0 cm BT /F1 9 Tf (a) Tj ET BT (b) Tj (c) Tj ET q 5 0 0 5 1 1 cm /Im1 Do Q", resources=shared)
+    data = b.build()
+    jpeg = b"\xff\xd8\xff\xe0\x00\x04ab\xff\xc0\x00\x11\x08\x00\x03\x00\x04\x03" + bytes(9) + b"\xff\xd9"
+    rows = [
+        {"kind": "replace_image", "page_index": 0, "search": "Im1", "image": bytes(range(12)), "width": 2, "height": 2},
+        {"kind": "replace_image", "page_index": 0, "search": "Im9", "image": b"x", "width": 1, "height": 1},
+        {"kind": "add_image", "page_index": 1, "image": jpeg, "numbers": [10, 20, 30, 40]},
+        {"kind": "replace_in_object", "page_index": 1, "index": 1, "replacement": "é"},
+        {"kind": "replace_in_object", "page_index": 1, "index": 5, "replacement": "z"},
+    ]
+    d = document.parse(data)
+    changed, counts = edit.apply_edits(d, rows)
+    assert counts == [1, 0, 1, 1, 0]
+    for again in (edit.revised(data, d, changed), edit.rewritten(d)):
+        got = document.parse(again)
+        found = [{i.name: i for i in graphics.images(got, p, content.parse_content(got.page_content(p)))} for p in got.pages()]
+        assert [sorted(x) for x in found] == [["Im1"], ["Im1", "Im2"]]
+        assert (found[1]["Im1"].width, found[1]["Im1"].height, got.content(found[0]["Im1"].stream)) == (2, 2, bytes(range(12)))
+        assert (found[1]["Im2"].width, found[1]["Im2"].height, tuple(found[1]["Im2"].position), found[1]["Im2"].stream.raw) == (4, 3, (10, 20, 30, 40), jpeg)
+        assert [[e.text for e in text.page_text(got, p).elements] for p in got.pages()] == [["a", "b", "c"], ["a", "é", "c"]]
+    for bad in ({"kind": "turn_image"}, {}, {"kind": "add_image", "image": b"abc", "width": 2, "height": 2, "numbers": [0, 0, 1, 1]}, {"kind": "add_image", "image": b"\xff\xd8\xff\xd9", "numbers": [0, 0, 1, 1]}):
+        with pytest.raises(PdfError):
+            edit.apply_edits(document.parse(data), [{"page_index": 0} | bad])
+
+
 def test_shown_values():
     assert [show_number(x) for x in (1.0, 0.5, -2, 1 / 3, 1e-9, True)] == ["1", "0.5", "-2", "0.333333", "0", "true"]
     assert plain({"A": Name("B"), "C": [Ref(1, 2), Str(b"\xfe\xff\x4e\x2d"), 2.0], "D": Stream({}, b"xy")}) == {"A": "/B", "C": ["1 2 R", "中", 2], "D": {"type": "stream", "dictionary": {}, "dataLength": 2}}

@@ -98,6 +98,14 @@ def test_edits_of_damaged_files(spark, folder):
     assert edits.rewritten(files).where("error IS NULL").count() == 4
 
 
+def test_unknown_edits_are_error_rows(spark, folder):
+    files = pdf.read_files(spark, folder).where("doc_id IS NOT NULL")
+    row = lambda kind: files.select(F.lit(1).alias("edit_id"), "doc_id", F.lit(0).alias("page_index"), F.lit(kind).alias("kind"), F.lit(bytearray(b"\0\1")).alias("image"), F.lit(2).alias("width"), F.lit(1).alias("height"), F.array(*map(F.lit, (0.0, 0.0, 9.0, 9.0))).alias("numbers"))
+    assert edits.apply_edits(files, row("turn_image")).where("error IS NULL").count() == 0
+    done = edits.apply_edits(files, row("add_image"))
+    assert done.where("error IS NULL").count() == 4 and pdf.relation(done, "images").where("width = 2 AND height = 1 AND position.width = 9").count() == 4
+
+
 def test_nulls_and_ties(spark):
     df = spark.createDataFrame([("a", 1, None), ("a", 2, 5), ("a", 3, None), ("b", 1, None), ("b", 2, None), (None, 1, 7)], "k string, i int, v int")
     got = {(r.k, r.i): r.c for r in state.carried(df, ["k"], ["i"], F.col("v"), "c").collect()}
