@@ -4,9 +4,10 @@ Pieces are dealt by a hash of doc_id into groups of about GROUP pieces, each
 packed alone, so the whole costs less than one extra sequence for each group.
 In a group, best-fit decreasing gives a first packing. Then the emptiest bin
 gives its documents away: a document moves into a bin with room, or is
-exchanged for a smaller one, or two are exchanged for one, each time so that
-the sum of squared fills grows. The search ends when no exchange is left or
-the group has as few bins as its tokens allow.
+exchanged for a smaller one, or any two are exchanged for one, each time so
+that the sum of squared fills grows; a bin that is stuck is left for the next
+least filled one. The search ends when no exchange is left in any bin or the
+group has as few bins as its tokens allow.
 
 Nulls: a null text counts as empty (the end id alone); a null doc_id is a
 document of its own kind and is carried through. Repeated doc_ids are packed
@@ -84,7 +85,7 @@ def best_fit(sizes: np.ndarray, room: int) -> list[list[int]]:
 
 
 def improve(bins: list[list[int]], sizes: np.ndarray, room: int) -> list[list[int]]:
-    """Empties the least filled bin again and again, by moves and exchanges that each raise the sum of squared fills."""
+    """Empties the least filled bins again and again, by moves and exchanges that each raise the sum of squared fills."""
     least = -(-int(sizes.sum()) // room)
     fill = np.array([sum(int(sizes[i]) for i in b) for b in bins], dtype=np.int64)
     place = np.empty(len(sizes), dtype=np.int64)
@@ -107,36 +108,50 @@ def improve(bins: list[list[int]], sizes: np.ndarray, room: int) -> list[list[in
         others[a] = False
         gap = np.where(others, room - fill, -1)
         for i in own:
-            fits = np.flatnonzero(gap >= sizes[i])
+            fits = np.flatnonzero((gap >= sizes[i]) & (fill + sizes[i] > fill[a]))
             if len(fits):
                 put(i, int(fits[np.argmin(gap[fits])]))
                 return True
         item_gap = gap[place]
-        free = item_gap >= 0
-        pairs = [(own[x], own[y]) for x in range(min(len(own), 24)) for y in range(x + 1, min(len(own), 24))]
-        for out in [*((i,) for i in own), *pairs]:
-            n = sum(int(sizes[i]) for i in out)
-            if n > room:
-                continue
-            fits = np.flatnonzero(free & (sizes < n) & (sizes + item_gap >= n) & (fill[place] + n - sizes > fill[a]))
-            if len(fits):
-                back = int(fits[np.argmin(sizes[fits] + item_gap[fits])])
-                b = int(place[back])
-                put(back, a)
-                for i in out:
-                    put(i, b)
-                return True
-        return False
-
-    for _ in range(4 * len(bins) + 64):
-        if alive.sum() <= least:
-            break
-        a = int(np.flatnonzero(alive)[np.argmin(fill[alive])])
+        # An item can be exchanged for n tokens of a if low <= n <= sizes + item_gap: the marks add up to how many can, for each n.
+        low = np.maximum(sizes, fill[a] - fill[place] + sizes) + 1
+        on = (item_gap >= 0) & (low <= sizes + item_gap)
+        marks = np.bincount(low[on], minlength=room + 2)[: room + 2] - np.bincount((sizes + item_gap + 1)[on], minlength=room + 2)[: room + 2]
+        can = np.cumsum(marks) > 0
+        own_sizes = sizes[own]
+        out = tuple(own[x] for x in np.flatnonzero(can[own_sizes])[:1])
+        if not out:
+            # Pairs by their two lengths, of which a bin has few different ones.
+            kinds, first, times = np.unique(-own_sizes, return_index=True, return_counts=True)
+            sums = np.minimum(-(kinds[:, None] + kinds), room + 1)
+            fit = np.triu(np.append(can[: room + 1], False)[sums])
+            fit[np.diag_indices(len(kinds))] &= times > 1
+            x, y = (v[:1] for v in np.nonzero(fit))
+            out = tuple(own[k] for p, q in zip(x, y, strict=True) for k in (first[p], first[q] + (p == q)))
+        if not out:
+            return False
+        n = int(sizes[list(out)].sum())
+        fits = np.flatnonzero(on & (low <= n) & (sizes + item_gap >= n))
+        back = int(fits[np.argmin(sizes[fits] + item_gap[fits])])
+        b = int(place[back])
+        put(back, a)
+        for i in out:
+            put(i, b)
+        return True
+
+    # A bin that is stuck is left for the next least filled one; what that one does may free those that were stuck.
+    stuck = np.zeros(len(bins), dtype=bool)
+    while alive.sum() > least and (left := np.flatnonzero(alive & ~stuck)).size:
+        a = int(left[np.argmin(fill[left])])
+        moved = False
         while bins[a] and step(a):
-            pass
+            moved = True
+        if moved:
+            stuck[:] = False
         if bins[a]:
-            break
-        alive[a] = False
+            stuck[a] = True
+        else:
+            alive[a] = False
     return [b for b, on in zip(bins, alive, strict=True) if on and b]
 
 

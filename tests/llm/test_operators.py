@@ -209,6 +209,39 @@ def test_local_search_empties_bins():
         assert len(better) <= len(first) and sorted(i for b in better for i in b) == list(range(120)) and all(sizes[b].sum() <= 2048 for b in better)
 
 
+def test_local_search_tries_all_pairs_and_bins():
+    def exchange_left(bins, sizes, room):
+        fill = [sum(int(sizes[i]) for i in b) for b in bins]
+        for a, own in enumerate(bins):
+            sums = {int(sizes[i]) for i in own} | {int(sizes[i] + sizes[j]) for k, i in enumerate(own) for j in own[k + 1 :]}
+            for b, other in enumerate(bins):
+                if a != b and any(fill[a] < fill[b] + sizes[i] <= room for i in own):
+                    return True
+                if a != b and any(sizes[j] < n <= sizes[j] + room - fill[b] and fill[b] + n - sizes[j] > fill[a] for n in sums for j in other):
+                    return True
+        return False
+
+    rnd = np.random.default_rng(6)
+    ended = 0
+    for k in range(60):
+        room, low, most = ((60, 1, 40), (200, 1, 8), (200, 30, 140))[k % 3]
+        sizes = rnd.integers(low, most, 150)
+        order = rnd.permutation(150)
+        bins, at = [], room + 1
+        for i in order:  # next fit leaves bins of many short documents
+            if at + sizes[i] > room:
+                bins.append([])
+                at = 0
+            bins[-1].append(int(i))
+            at += sizes[i]
+        found = packing.improve(bins, sizes, room)
+        assert sorted(i for b in found for i in b) == list(range(150)) and all(sizes[b].sum() <= room for b in found)
+        least = -(-int(sizes.sum()) // room)
+        assert len(found) == least or not exchange_left(found, sizes, room)
+        ended += len(found) == least
+    assert 30 < ended < 60
+
+
 def test_marginals_against_brute_force():
     from itertools import product
 
