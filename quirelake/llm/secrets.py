@@ -4,8 +4,9 @@ Two first-order character models are trained: one of random strings (values
 that the patterns find in a bounded sample, and strings drawn from a seeded
 generator over the usual alphabets) and one of ordinary identifiers (all other
 long tokens of the sample, and joined words of it). A token of LEAST characters
-or more outside the pattern spans is a secret if the mean log-likelihood ratio
-for each character is over a bound and both letters and digits occur.
+or more, or as long a part of one outside the pattern spans, is a secret if the
+mean log-likelihood ratio for each character is over a bound. One without any
+letter (a number, a rule of signs) is none.
 
 A null text counts as empty and has no span. Rows are independent, so repeated
 rows, null ids and very long texts need no special care; an empty table gives
@@ -36,6 +37,7 @@ KINDS = ("assign", "access", "hex")
 #: Tokens that the models judge.
 LEAST = 16
 TOKEN = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{%d,}" % LEAST)
+LETTER = re.compile("[A-Za-z]")
 ALPHABET = string.ascii_letters + string.digits + "+/_=-"
 INDEX = {c: i + 1 for i, c in enumerate(ALPHABET)}
 #: Documents that the ordinary model is trained on, at most.
@@ -67,14 +69,18 @@ class Markov:
         return float(self.ratio[at[:-1], at[1:]].mean())
 
     def spans(self, text: str, taken: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-        """Spans of kind 3: tokens that look random and touch no other span."""
+        """Spans of kind 3: tokens, or their parts outside the other spans, that look random."""
         out = []
         for m in TOKEN.finditer(text):
-            own = m.group()
-            if own.isalpha() or own.isdigit() or any(a < m.end() and m.start() < b for a, _, b in taken):
-                continue
-            if re.search("[A-Za-z]", own) and re.search("[0-9]", own) and self.score(own) > BOUND:
-                out.append((m.start(), 3, m.end()))
+            parts, at = [], m.start()
+            for a, _, b in taken:
+                if a < m.end() and at < b:
+                    parts.append((at, a))
+                    at = b
+            for a, b in [*parts, (at, m.end())]:
+                own = text[a:b]
+                if b - a >= LEAST and LETTER.search(own) and self.score(own) > BOUND:
+                    out.append((a, 3, b))
         return out
 
 
@@ -91,7 +97,7 @@ def _counts(tokens: list[str], smooth: float) -> np.ndarray:
 def drawn(n: int, seed: int = 7) -> list[str]:
     """Random strings over the alphabets that keys are written in."""
     rnd = random.Random(seed)
-    alphabets = [string.ascii_letters + string.digits, string.ascii_lowercase + string.digits, string.ascii_uppercase + string.digits, "0123456789abcdef", string.ascii_letters + string.digits + "+/", string.ascii_letters + string.digits + "_-"]
+    alphabets = [string.ascii_letters + string.digits, string.ascii_lowercase + string.digits, string.ascii_uppercase + string.digits, "0123456789abcdef", string.ascii_letters + string.digits + "+/", string.ascii_letters + string.digits + "_-", string.ascii_letters, string.ascii_lowercase, string.ascii_uppercase]
     return ["".join(rnd.choices(alphabets[i % len(alphabets)], k=rnd.randint(16, 48))) for i in range(n)]
 
 

@@ -436,6 +436,22 @@ def test_markov_tells_random_from_ordinary(spark):
     assert len(plain) > 30 and np.mean([bool(model.spans(t, [])) for t in plain]) < 0.05
 
 
+def test_markov_on_letters_alone_and_beside_patterns(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = secrets.train(secrets.sample_texts(docs, 500))
+    rnd = random.Random(12)
+    letters = ["".join(rnd.choices(secrets.string.ascii_letters, k=24)) for _ in range(200)]
+    assert np.mean([bool(model.spans(t, [])) for t in letters]) > 0.9
+    rows = docs.orderBy(F.desc("doc_id")).limit(40).collect()
+    plain = ["".join(own[k : k + 4]) for r in rows for own in [re.findall("[A-Za-z]{3,}", r.text)] for k in range(0, len(own) - 4, 40)]
+    assert len(plain) > 30 and np.mean([bool(model.spans(t, [])) for t in plain]) < 0.05
+    key = "q7Zk2XvB9mWt4RcY8pLd"
+    text = f"0123456789abcdef01234567_{key}"
+    base = secrets.base_spans(text)
+    assert base == [(0, 2, 24)] and model.spans(text, base) == [(24, 3, len(text))]
+    assert model.spans(text[:36], base) == [] and model.spans(key, [(0, 0, 3), (1, 1, 2), (19, 1, 20)]) == [(3, 3, 19)]
+
+
 def test_secret_scan_of_odd_texts(docs, texts, nothing, spark):
     found = secrets.find_secrets(docs).collect()
     assert len(found) == len(texts) and all(len(r.kinds) == len(r.starts) == len(r.ends) for r in found)
