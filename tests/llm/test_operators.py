@@ -298,45 +298,90 @@ def test_suffix_order():
                 assert prefix[i] == next((k for k, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
 
 
-def test_suffix_dedup(docs, texts, nothing):
+def without_windows(rows: list[tuple[int | None, bytes]]) -> list[tuple[int | None, bytes, bytearray]]:
+    """Id, text and marks of the bytes to remove, by a table of all windows."""
     seen: dict[bytes, int] = {}
-    raws = [(i, (t or "").encode()) for i, t in texts]
-    for i, b in raws:
+    for i, b in rows:
         for p in range(len(b) - 49) if i is not None else ():
             seen[b[p : p + 50]] = min(seen.get(b[p : p + 50], i), i)
-    want = Counter()
-    for i, b in raws:
+    out = []
+    for i, b in rows:
         gone = bytearray(len(b))
         for p in range(len(b) - 49) if i is not None else ():
             if seen[b[p : p + 50]] < i:
                 gone[p : p + 50] = b"\1" * 50
+        out.append((i, b, gone))
+    return out
+
+
+def suffix_rows(rows) -> Counter:
+    want = Counter()
+    for i, b, gone in without_windows([(i, (t or "").encode()) for i, t in rows]):
         left = bytes(x for x, g in zip(b, gone, strict=True) if not g)
         want[i, len(b), sum(gone), len(re.findall(b"\1+", gone)), hashlib.sha256(left).hexdigest()] += 1
-    assert Counter(map(tuple, suffix_dedup.without_repeats(docs).drop("kept").collect())) == want
+    return want
+
+
+def test_suffix_dedup(docs, texts, nothing):
+    assert Counter(map(tuple, suffix_dedup.without_repeats(docs).drop("kept").collect())) == suffix_rows(texts)
     assert suffix_dedup.without_repeats(nothing).collect() == []
 
 
+@pytest.mark.parametrize("hot", [0, 3, 1 << 30])
+def test_suffix_dedup_of_hot_passages(spark, hot):
+    """Copies with changes, a line in every text, repeated rows and repeated ids, over several small units."""
+    rnd = random.Random(11)
+    line, base = words(rnd, 14), words(rnd, 80)
+    rows = []
+    for i in range(60):
+        own = base.split(" ")
+        own[rnd.randrange(80)] = f"w{i}"
+        rows.append((rnd.choice([-4, i, i, 7]), " ".join([*(own if i % 3 else words(rnd, 30).split(" ")), line, *words(rnd, 9).split(" ")])))
+    rows += rows[:3] + [(99, "ab" * 400), (98, "ab" * 300 + "c" * 300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    texts = suffix_dedup.narrow(docs).withColumn("tag", F.xxhash64("text"))
+    got = {(r.doc_id, r.tag): sorted(x for a, b in zip(r.starts, r.ends, strict=True) for x in range(a, b)) for r in suffix_dedup.removable(texts, 40_000, hot, 2_000).collect()}
+    tags = {(r.doc_id, r.text): r.tag for r in texts.collect()}
+    want = {(i, tags[i, b.decode()]): [x for x, g in enumerate(gone) if g] for i, b, gone in without_windows([(i, t.encode()) for i, t in rows]) if any(gone)}
+    assert got == want
+
+
+def test_anchors_by_chunks():
+    rnd = np.random.default_rng(3)
+    raw = rnd.integers(97, 101, 9_000).astype(np.uint8)
+    starts = np.array([0, 60, 61, 200, 1_000, 1_010, 5_000, 8_999])
+    at, h = suffix_dedup.anchors(raw, starts)
+    assert len(at) > 500
+    for chunk in (64, 333, 8_000):
+        other_at, other_h = suffix_dedup.anchors(raw, starts, chunk=chunk)
+        assert (at == other_at).all() and (h == other_h).all()
+    # Every window of a text holds an anchor.
+    ends = np.append(starts[1:], len(raw))
+    for a, b in zip(starts, ends, strict=True):
+        for p in range(a, b - 49):
+            assert ((at >= p) & (at <= p + 26)).any()
+
+
 def test_equal_segments_are_sorted_once(monkeypatch):
     rnd = random.Random(8)
     plain = [bytes(rnd.choice(b"abc") for _ in range(300)) for _ in range(4)]
     texts = [rnd.choice(plain) for _ in range(200)] + [plain[0][:100] + b"+" + plain[1][100:], plain[2][7:90]]
-    ids = [rnd.randint(-5, 60) for _ in texts]
-    begin = np.array([rnd.randint(0, 9) for _ in texts])
+    bounds = [sorted((rnd.randint(-5, 60), rnd.randint(-5, 60))) for _ in texts]
     blocks = []
     for k in range(0, len(texts), 50):
-        own = texts[k : k + 50]
-        blocks.append(suffix_dedup.pickle.dumps((np.array(ids[k : k + 50]), np.arange(k, k + len(own)), begin[k : k + 50], np.array([len(t) for t in own]), b"".join(own)), 5))
+        own = np.zeros(len(texts[k : k + 50]), suffix_dedup.SEGMENT)
+        own["ref"], own["size"] = np.arange(len(own)), [len(t) for t in texts[k : k + 50]]
+        own["least"], own["most"] = np.array(bounds[k : k + 50]).T
+        blocks.append((k, own, b"".join(texts[k : k + 50])))
     seen: dict[bytes, int] = {}
-    for i, t in zip(ids, texts, strict=True):
+    for (low, _), t in zip(bounds, texts, strict=True):
         for p in range(len(t) - 49):
-            seen[t[p : p + 50]] = min(seen.get(t[p : p + 50], i), i)
-    want = {(i, k, p + begin[k] + x) for k, (i, t) in enumerate(zip(ids, texts, strict=True)) for p in range(len(t) - 49) if seen[t[p : p + 50]] < i for x in range(50)}
+            seen[t[p : p + 50]] = min(seen.get(t[p : p + 50], low), low)
+    want = {(k - k % 50, k % 50, p, seen[t[p : p + 50]]) for k, ((_, high), t) in enumerate(zip(bounds, texts, strict=True)) for p in range(len(t) - 49) if seen[t[p : p + 50]] < high}
     sorted_bytes = []
     monkeypatch.setattr(suffix_dedup, "suffix_order", lambda text, *a: (sorted_bytes.append(len(text)), induced.suffix_order(text, *a))[1])
-    for spread in (1 << 20, 7):
-        monkeypatch.setattr(suffix_dedup, "SPREAD", spread)
-        got = suffix_dedup.repeated(blocks)
-        assert {(r.doc_id, r.tag, x) for r in got.itertuples() for a, b in zip(r.starts, r.ends, strict=True) for x in range(a, b)} == want
+    got = [(unit, int(r["ref"]), p, int(r["smallest"])) for unit, own in suffix_dedup.repeated(blocks) for r in own for p in range(r["first"], r["last"] + 1)]
+    assert len(got) == len(set(got)) and set(got) == want
     assert max(sorted_bytes) < 2000 < sum(map(len, texts)) // 10
 
 
