@@ -15,12 +15,17 @@ def escape_literal(text: Column) -> Column:
 
 
 def unescape_literal(text: Column) -> Column:
-    """Undoes escape_literal; a doubled backslash is set aside while the others go."""
-    mark = "\u0001"
-    text = F.replace(text, F.lit("\\\\"), F.lit(mark))
-    for raw, written in ESCAPES[1:]:
-        text = F.replace(text, F.lit(written), F.lit(raw))
-    return F.replace(text, F.lit(mark), F.lit("\\"))
+    """Undoes escapes of a literal string in one pass: letters, octal codes, line continuations; a backslash before anything else goes."""
+    parts = F.regexp_extract_all(text, F.lit(r"(?s)\\(?:[0-7]{1,3}|\r\n|.)|[^\\]+"), F.lit(0))
+
+    def plain(part: Column) -> Column:
+        rest = F.substring(part, 2, 3)
+        out = F.when(~part.startswith("\\"), part).when(rest.rlike("^[0-7]"), F.chr(F.conv(rest, 8, 10).cast("bigint")))
+        for raw, written in ESCAPES[3:]:
+            out = out.when(rest == written[1:], F.lit(raw))
+        return out.when(rest.isin("\n", "\r", "\r\n"), F.lit("")).otherwise(rest)
+
+    return F.array_join(F.transform(parts, plain), "")
 
 
 def escape_name(text: Column) -> Column:
@@ -33,9 +38,10 @@ def escape_name(text: Column) -> Column:
 
 
 def unescape_name(text: Column) -> Column:
-    first, rest = F.get(F.split(text, "#", -1), F.lit(0)), F.slice(F.split(text, "#", -1), 2, 1 << 30)
-    each = F.transform(rest, lambda p: F.concat(F.chr(F.conv(F.substring(p, 1, 2), 16, 10).cast("bigint")), F.substring(p, 3, 1 << 30)))
-    return F.concat(first, F.array_join(each, ""))
+    """Undoes #xx byte by byte, so that names in UTF-8 come back whole; bytes that are no UTF-8 become the replacement character."""
+    parts = F.regexp_extract_all(text, F.lit("(?s)#[0-9A-Fa-f]{2}|#|[^#]+"), F.lit(0))
+    each = F.transform(parts, lambda p: F.when(p.rlike("^#[0-9A-Fa-f]{2}$"), F.substring(p, 2, 2)).otherwise(F.hex(F.encode(p, "UTF-8"))))
+    return F.make_valid_utf8(F.unhex(F.array_join(each, "")).cast("string"))
 
 
 def from_hex(text: Column) -> Column:
@@ -105,6 +111,36 @@ def math_encoding(name: Column) -> Column:
     return F.when(up.rlike("^CMEX"), "CMEX").when(up.rlike("^(CMSY|CMBSY)"), "CMSY").when(up.rlike("^(CMMI|CMMIB)"), "CMMI").when(up.rlike("^(CMR|CMBX|CMTI|CMSS|CMTT)"), "CMR")
 
 
+def identity_map(name: Column) -> Column:
+    return name.isin("Identity-H", "Identity-V")
+
+
+def predefined_map(name: Column) -> Column:
+    """Names of the maps that the format defines, by their form: an encoding, and the direction of writing."""
+    known = "GBpc-EUC|GB-EUC|GBK-EUC|GBKp-EUC|GBK2K|UniGB-(UCS2|UTF16)|B5pc|HKscs-B5|ETen-B5|ETenms-B5|CNS-EUC|UniCNS-(UCS2|UTF16)|83pv-RKSJ|90ms-RKSJ|90msp-RKSJ|90pv-RKSJ|Add-RKSJ|EUC|Ext-RKSJ|UniJIS-(UCS2|UTF16)|UniJIS-UCS2-HW|KSC-EUC|KSCms-UHC|KSCms-UHC-HW|KSCpc-EUC|UniKS-(UCS2|UTF16)|Identity"
+    return name.rlike(f"^(({known})-[HV]|H|V)$")
+
+
+def cjk_font(name: Column) -> Column:
+    """Names of the usual Chinese, Japanese and Korean families."""
+    return F.upper(F.regexp_replace(name, "[ -]", "")).rlike("SIMSUN|SIMHEI|KAITI|FANGSONG|MINGLIU|MSGOTHIC|MSMINCHO|MSPGOTHIC|MSPMINCHO|MEIRYO|BATANG|GULIM|DOTUM|MALGUN|HEITI|SONGTI|MINCHO|NOTOSANSCJK|SOURCEHAN")
+
+
+def has_private_use(text: Column) -> Column:
+    """Characters of the private use area."""
+    return text.rlike("[\\x{E000}-\\x{F8FF}]")
+
+
+def has_special(text: Column) -> Column:
+    """Control characters, and the replacement character."""
+    return text.rlike("[\\x{0000}-\\x{0008}\\x{000E}-\\x{001F}\\x{007F}-\\x{009F}\\x{FFFD}]")
+
+
+def is_present(value: Column) -> Column:
+    """Neither null nor empty nor the null of a file."""
+    return F.coalesce((value != "") & (value != "null"), F.lit(False))
+
+
 #: Classes of characters in order of priority.
 CLASSES = (("cjk", "[\\x{3400}-\\x{9FFF}\\x{F900}-\\x{FAFF}]"), ("kana", "[\\x{3040}-\\x{30FF}]"), ("hangul", "[\\x{AC00}-\\x{D7AF}]"), ("accented", "[\\x{00C0}-\\x{024F}]"), ("digits", "[0-9]"), ("letters", "[A-Za-z]"))
 

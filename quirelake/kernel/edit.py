@@ -241,7 +241,7 @@ def set_content(doc, page, instructions: list[Instruction], compress: bool = Tru
 
 
 #: Kinds of edit rows; any other is an error.
-KINDS = ("replace", "delete", "modify", "add", "rectangle", "line", "ellipse", "optimize", "delete_image", "replace_in_object", "replace_image", "add_image")
+KINDS = ("replace", "replace_first", "insert_instructions", "remove_instructions", "replace_instructions", "compress", "decompress", "delete", "modify", "add", "rectangle", "line", "ellipse", "optimize", "delete_image", "replace_in_object", "replace_image", "add_image")
 
 
 def apply_edits(doc, edits: list[dict]) -> tuple[dict[int, tuple[int, object]], list[int]]:
@@ -250,14 +250,27 @@ def apply_edits(doc, edits: list[dict]) -> tuple[dict[int, tuple[int, object]],
     for e in edits:
         if e.get("kind") not in KINDS:
             raise PdfError("edit", f"no edit of kind {e.get('kind')!r}")
-        page = pages[e["page_index"]] if 0 <= (e.get("page_index") or 0) < len(pages) else None
+        if e.get("page_index") is None:
+            raise PdfError("edit", "an edit has no page_index")
+        page = pages[e["page_index"]] if 0 <= e["page_index"] < len(pages) else None
         if page is None:
             counts.append(0)
             continue
         fonts, before = page_fonts(doc, page), parse_content(doc.page_content(page))
         kind, search, to = e["kind"], e.get("search") or "", e.get("replacement") or ""
-        if kind == "replace":
-            after, n = replace_text(before, fonts, search, to, bool(e.get("ignore_case")))
+        if kind in ("replace", "replace_first"):
+            after, n = replace_text(before, fonts, search, to, bool(e.get("ignore_case")), kind == "replace")
+        elif kind in ("compress", "decompress"):
+            changed |= set_content(doc, page, before, kind == "compress")
+            counts.append(1)
+            continue
+        elif kind == "insert_instructions":
+            new = parse_content(to.encode("latin-1"))
+            after, n = insert(before, new, search or "end", int(number(e.get("index")))), len(new)
+        elif kind in ("remove_instructions", "replace_instructions"):
+            at, k = (max(0, int(v)) for v in e["numbers"])
+            new = parse_content(to.encode("latin-1")) if kind == "replace_instructions" else []
+            after, n = before[:at] + new + before[at + k :], len(before[at : at + k])
         elif kind == "delete":
             after, n = delete_text(before, fonts, search, bool(e.get("ignore_case")))
         elif kind == "modify":

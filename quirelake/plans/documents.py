@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quirelake.operators import search
+from quirelake.operators.tables import written
 from quirelake.plans.relational import read
 from quirelake.sources import edits, endpoint, generated, pdf
 
@@ -31,6 +32,10 @@ def _texts(files: DataFrame, **options) -> DataFrame:
     return pdf.relation(files, "text_elements", **options).select("doc_id", "page_index", "elem_idx", "text")
 
 
+def request(method: str, **params) -> str:
+    return json.dumps({"jsonrpc": "2.0", "id": 1, "method": method, "params": params})
+
+
 def _read_back(files: DataFrame, **options) -> DataFrame:
     """doc_id, n_lines, text_md5."""
     e = _texts(files, **options)
@@ -112,7 +117,7 @@ def pdf_instruction_counts(spark, d):
 
 @query("SELECT doc_id, '1.7' AS version, true AS same_start FROM documents")
 def pdf_header(spark, d):
-    files = generated.documents_as_files(read(spark, d, "documents"))
+    files = written(generated.documents_as_files(read(spark, d, "documents")), "files")
     native = files.select("doc_id", pdf.header_version(F.col("content")).alias("version"), pdf.start_offset(F.col("content")).alias("start"))
     parsed = pdf.relation(files, "documents_meta").select("doc_id", "start_xref")
     return native.join(parsed, "doc_id").select("doc_id", "version", (F.col("start") == F.col("start_xref")).alias("same_start"))
@@ -125,10 +130,12 @@ def _categories(turns: DataFrame) -> DataFrame:
     return i.join(F.broadcast(dim), "op").where("operand_count IS NOT NULL").groupBy("category").agg(F.count("*").alias("n"))
 
 
-@query("SELECT v.category, sum(p * k)::BIGINT AS n FROM (SELECT count(*) AS p FROM conversations), (VALUES ('text_object', 2), ('text_positioning', 1), ('text_state', 2), ('text_showing', 1)) v(category, k) GROUP BY 1")
+@query("""WITH t AS (SELECT string_split(coalesce(text, ''), chr(10)) AS l FROM conversations), c AS (SELECT count(*) AS p, sum(len(l) - 1) AS moves, sum(len(list_filter(l, lambda x: x <> ''))) AS shown FROM t)
+SELECT v.op, v.category, v.n::BIGINT AS n FROM c, LATERAL (VALUES ('BT', 'text_object', p), ('ET', 'text_object', p), ('Td', 'text_positioning', p), ('T*', 'text_positioning', moves), ('Tf', 'text_state', p), ('TL', 'text_state', p), ('Tj', 'text_showing', shown)) v(op, category, n) WHERE v.n > 0""")
 def pdf_operator_categories(spark, d):
-    """Over turns of one line; pdf_operator_categories_text has the turns' own texts."""
-    return _categories(read(spark, d, "conversations").withColumn("text", F.lit("one line")))
+    """By operator; pdf_operator_categories_text has the sums of categories."""
+    i = pdf.relation(generated.turns_as_files(read(spark, d, "conversations")), "instructions").select("op")
+    return i.groupBy("op").count().join(F.broadcast(pdf.operator_dim(spark)), "op").select("op", "category", F.col("count").alias("n"))
 
 
 @query("""WITH t AS (SELECT string_split(coalesce(text, ''), chr(10)) AS l FROM conversations), c AS (SELECT count(*) AS p, sum(len(l) - 1) AS moves, sum(len(list_filter(l, lambda x: x <> ''))) AS shown FROM t)
@@ -218,11 +225,11 @@ def _fonts(doc_id, text):
     return b.build()
 
 
-@query("SELECT doc_id, md5(string_split(text, chr(10))[1]) AS text_md5 FROM documents WHERE string_split(text, chr(10))[1] <> ''")
+@query(f"SELECT doc_id, len(l) AS n_lines, list_sum(list_transform(l, lambda x: len(x)))::BIGINT AS n_letters FROM (SELECT doc_id, {LINES} AS l FROM documents) WHERE len(l) > 0")
 def pdf_fonts(spark, d):
-    """What the first line shows; pdf_fonts_lines compares all lines of the same files."""
+    """Lines and letters of all texts; pdf_fonts_lines compares what the lines say."""
     e = pdf.relation(generated.made(read(spark, d, "documents"), _fonts, "text"), "text_elements")
-    return e.where("y = 756").select("doc_id", F.md5("text").alias("text_md5"))
+    return e.groupBy("doc_id").agg(F.count("*").alias("n_lines"), F.sum(F.length("text")).alias("n_letters"))
 
 
 @query(ROUND_TRIP)
@@ -313,8 +320,10 @@ def _first_lines(spark, d) -> DataFrame:
 e AS (SELECT doc_id, p, CASE WHEN p = 0 THEN replace(text, 'the', 'THE') ELSE text END AS text FROM t)
 SELECT doc_id, p::INT AS page_index, md5(text || CASE WHEN p = 0 THEN chr(10) || 'added' ELSE '' END) AS text_md5 FROM e WHERE NOT (p = 1 AND contains(lower(text), 'an')) AND text <> ''""")
 def pdf_edits(spark, d):
-    files = generated.turns_as_files(_first_lines(spark, d))
-    rows = files.select("doc_id")
+    turns = _first_lines(spark, d)
+    files = generated.turns_as_files(turns)
+    # Ids come from the rows, not from the files, which so are built once.
+    rows = turns.select(F.col("conv_id").alias("doc_id")).distinct()
     make = lambda i, page, kind, s, to, ci=False: rows.select(F.lit(i).cast("long").alias("edit_id"), "doc_id", F.lit(page).alias("page_index"), F.lit(kind).alias("kind"), F.lit(s).alias("search"), F.lit(to).alias("replacement"), F.lit(ci).alias("ignore_case"))
     wanted = make(1, 0, "replace", "the", "THE").unionByName(make(2, 1, "delete", "an", "", True)).unionByName(make(3, 0, "add", "", "added"))
     done = edits.apply_edits(files, wanted)
@@ -334,26 +343,28 @@ def _redundant(doc_id, items):
 @query("""WITH l AS (SELECT user_id AS doc_id, length(event_type) AS n, lag(length(event_type)) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM events)
 SELECT doc_id, count(*) FILTER (n IS DISTINCT FROM before) + 2 * count(*) AS n_instructions FROM l GROUP BY 1""")
 def pdf_optimize(spark, d):
-    files = generated.made(generated.gathered(read(spark, d, "events"), "user_id", ["ts", "event_id"], "event_type"), _redundant, "items")
-    wanted = files.select(F.lit(1).cast("long").alias("edit_id"), "doc_id", F.lit(0).alias("page_index"), F.lit("optimize").alias("kind"))
+    events = read(spark, d, "events")
+    files = generated.made(generated.gathered(events, "user_id", ["ts", "event_id"], "event_type"), _redundant, "items")
+    wanted = events.select(F.col("user_id").alias("doc_id")).distinct().select(F.lit(1).cast("long").alias("edit_id"), "doc_id", F.lit(0).alias("page_index"), F.lit("optimize").alias("kind"))
     return pdf.relation(edits.apply_edits(files, wanted), "instructions").groupBy("doc_id").agg(F.count("*").alias("n_instructions"))
 
 
 @query("SELECT doc_id, true AS as_before FROM documents")
 def pdf_rewrite(spark, d):
-    files = generated.documents_as_files(read(spark, d, "documents"), "flate", packed=True)
+    docs = read(spark, d, "documents")
+    files = written(generated.documents_as_files(docs, "flate", packed=True), "files")
     before, after = _read_back(files), _read_back(edits.rewritten(files)).withColumnsRenamed({"n_lines": "n2", "text_md5": "m2"})
-    both = files.select("doc_id").join(before, "doc_id", "left").join(after, "doc_id", "left")
+    both = docs.select("doc_id").join(before, "doc_id", "left").join(after, "doc_id", "left")
     return both.select("doc_id", (F.col("text_md5").eqNullSafe(F.col("m2")) & F.col("n_lines").eqNullSafe(F.col("n2"))).alias("as_before"))
 
 
 @query("SELECT conv_id AS doc_id, count(*) AS pages, count(*) AS listed FROM conversations GROUP BY 1")
 def pdf_endpoint(spark, d):
     files = generated.turns_as_files(read(spark, d, "conversations"))
-    ask = lambda m, **p: F.lit(json.dumps({"jsonrpc": "2.0", "id": 1, "method": m, "params": p}))
-    info = endpoint.answers(files, ask("pdf/getDocumentInfo")).select("doc_id", F.get_json_object("response", "$.result.pageCount").cast("long").alias("pages"))
-    listed = endpoint.answers(files, ask("pdf/getPages")).select("doc_id", F.size(F.from_json(F.get_json_object("response", "$.result.pages"), "array<string>")).cast("long").alias("listed"))
-    return info.join(listed, "doc_id")
+    done = endpoint.sessions(files, [request("pdf/getDocumentInfo"), request("pdf/getPages")])
+    pages = F.get_json_object(F.col("responses")[0], "$.result.pageCount").cast("long")
+    listed = F.size(F.from_json(F.get_json_object(F.col("responses")[1], "$.result.pages"), "array<string>")).cast("long")
+    return done.select("doc_id", pages.alias("pages"), listed.alias("listed"))
 
 
 def _hostile(doc_id, text):

@@ -98,12 +98,12 @@ TREE = """nodes(id, parent, value) AS (SELECT cast(r_regionkey + 1000 AS BIGINT)
 
 @query(f"WITH RECURSIVE {TREE}, t(id, depth, path) AS (SELECT id, 0, cast(id AS VARCHAR) FROM nodes WHERE parent IS NULL UNION ALL SELECT n.id, t.depth + 1, t.path || '/' || n.id FROM t JOIN nodes n ON n.parent = t.id) SELECT * FROM t")
 def tree_expand(spark, d):
-    return graph.expanded(spark, _tree(spark, d), "parent IS NULL")
+    return graph.expanded(_tree(spark, d), "parent IS NULL")
 
 
 @query(f"WITH RECURSIVE {TREE}, t(id, value) AS (SELECT id, value FROM nodes WHERE parent IS NULL UNION ALL SELECT n.id, coalesce(n.value, t.value) FROM t JOIN nodes n ON n.parent = t.id) SELECT * FROM t")
 def inherit_attr(spark, d):
-    return graph.inherited(spark, _tree(spark, d), "parent IS NULL")
+    return graph.inherited(_tree(spark, d), "parent IS NULL")
 
 
 @query("SELECT user_id, event_id, event_type, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r = 1")
@@ -236,11 +236,11 @@ def _rects(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "embeddings").select(F.col("vec_id").alias("id"), geometry.rect(v[0], v[1], v[0] + v[2], v[1] + v[3]).alias("r"))
 
 
-@query(f"WITH {RECTS} SELECT a.id AS a_id, b.id AS b_id FROM r a, r b WHERE a.id % 2 = 0 AND b.id % 2 = 1 AND NOT (a.urx < b.llx OR b.urx < a.llx OR a.ury < b.lly OR b.ury < a.lly)")
+@query(f"WITH {RECTS} SELECT a.id AS a_id, b.id AS b_id FROM r a, r b WHERE NOT (a.urx < b.llx OR b.urx < a.llx OR a.ury < b.lly OR b.ury < a.lly)")
 def rect_intersects(spark, d):
-    """Pairs of an even and an odd id; rect_intersects_all has those of all rows."""
+    """All rows against all rows, each with itself too; rect_intersects_all has each pair of one table once."""
     r = _rects(spark, d)
-    return ranges.overlapping(r.where("id % 2 = 0"), r.where("id % 2 = 1"), 0.05)
+    return ranges.overlapping(r, r, 0.05)
 
 
 @query(f"WITH {RECTS} SELECT a.id AS a_id, b.id AS b_id FROM r a, r b WHERE a.id < b.id AND NOT (a.urx < b.llx OR b.urx < a.llx OR a.ury < b.lly OR b.ury < a.lly)")
@@ -342,10 +342,9 @@ def pdf_date_format(spark, d):
     return read(spark, d, "orders").select("o_orderkey", codecs.date_string(F.col("o_orderdate")).alias("stamp"))
 
 
-@query("SELECT l_orderkey, l_linenumber, CASE WHEN l_quantity = floor(l_quantity) THEN cast(l_quantity::BIGINT AS VARCHAR) ELSE regexp_replace(printf('%.6f', l_quantity), '\\.?0+$', '') END AS q, regexp_replace(printf('%.6f', l_discount), '\\.?0+$', '') AS dsc FROM lineitem WHERE l_discount > 0")
+@query("SELECT l_orderkey, l_linenumber, CASE WHEN l_extendedprice = floor(l_extendedprice) THEN cast(l_extendedprice::BIGINT AS VARCHAR) ELSE regexp_replace(printf('%.6f', l_extendedprice), '\\.?0+$', '') END AS price, CASE WHEN l_tax = floor(l_tax) THEN cast(l_tax::BIGINT AS VARCHAR) ELSE regexp_replace(printf('%.6f', l_tax), '\\.?0+$', '') END AS tax FROM lineitem")
 def number_format(spark, d):
-    """Of items with a discount; number_format_all has all of them."""
-    return read(spark, d, "lineitem").where("l_discount > 0").select("l_orderkey", "l_linenumber", codecs.show_number(F.col("l_quantity")).alias("q"), codecs.show_number(F.col("l_discount")).alias("dsc"))
+    return read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", codecs.show_number(F.col("l_extendedprice")).alias("price"), codecs.show_number(F.col("l_tax")).alias("tax"))
 
 
 @query("SELECT l_orderkey, l_linenumber, CASE WHEN l_quantity = floor(l_quantity) THEN cast(l_quantity::BIGINT AS VARCHAR) ELSE regexp_replace(printf('%.6f', l_quantity), '\\.?0+$', '') END AS q, CASE WHEN l_discount = floor(l_discount) THEN cast(l_discount::BIGINT AS VARCHAR) ELSE regexp_replace(printf('%.6f', l_discount), '\\.?0+$', '') END AS dsc FROM lineitem")

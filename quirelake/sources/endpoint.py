@@ -92,6 +92,29 @@ def answers(files: DataFrame, request: Column | str) -> DataFrame:
     return files.select("doc_id", "content", request.alias("request")).mapInPandas(each, "doc_id bigint, response string, content binary")
 
 
+def sessions(files: DataFrame, requests: list[str] | Column, password: str = "") -> DataFrame:
+    """doc_id, responses, content of several JSON-RPC requests to each file, answered in order in one pass.
+
+    requests: the same for all files, or a column of arrays. A request sees what those before it wrote; content is the
+    file after the last of them, null where none wrote.
+    """
+    ship(files.sparkSession)
+    asked = requests if isinstance(requests, Column) else F.array(*map(F.lit, requests))
+
+    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for doc_id, before, own in zip(batch["doc_id"], batch["content"], batch["requests"], strict=True):
+                data, said = before or b"", []
+                for q in own if own is not None else ():
+                    answer, data = handle(data, q, password)
+                    said.append(answer)
+                rows.append((doc_id, said, data if data is not (before or b"") and data != before else None))
+            yield pd.DataFrame(rows, columns=["doc_id", "responses", "content"])
+
+    return files.select("doc_id", "content", asked.alias("requests")).mapInPandas(each, "doc_id bigint, responses array<string>, content binary")
+
+
 class PdfText:
     """pdf_text(content): page_index, elem_idx, text, x, y."""
 
