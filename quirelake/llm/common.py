@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quirelake.operators.tables import written  # noqa: F401 - the operators take it from here
 from quirelake.sources.shipping import ship
 
 
@@ -16,28 +16,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, which every executor sees; a temporary one only where none is set (tests)."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        got = spark.sparkContext._jsc.sc().getCheckpointDir()
-        folder = got.get() if got.isDefined() else None
-    if not folder:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        folder = tempfile.mkdtemp(prefix="quirelake-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: cuts the lineage, and a lost executor costs no earlier stage."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -48,7 +26,46 @@ def narrow(docs: DataFrame, *extra: str) -> DataFrame:
     return docs.select(F.col("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"), *extra)
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, with underscores added to those that a column of df has (in any case)."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def vocabulary(name: str) -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
+
+
+class BoundedCache(dict):
+    """What make gives for a string: the latest MOST bytes of keys and values at least stay, and twice as many at most; long strings do not.
+
+    With fresh (a list), what was made anew is put there.
+    """
+
+    MOST, LONGEST, EACH = 40 << 20, 256, 180
+
+    def __init__(self, make: Callable[[str], bytes], fresh: list | None = None):
+        super().__init__()
+        self.make, self.fresh, self.older, self.held = make, fresh, {}, 0
+
+    def __missing__(self, key: str) -> bytes:
+        got = self.older.get(key)
+        if got is None:
+            got = self.make(key)
+            if self.fresh is not None:
+                self.fresh.append((key, got))
+        if len(key) <= self.LONGEST:
+            if self.held > self.MOST:
+                self.older, self.held = dict(self), 0
+                self.clear()
+            self.held += len(key) + len(got) + self.EACH
+            self[key] = got
+        return got

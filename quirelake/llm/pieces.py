@@ -5,7 +5,7 @@ piece, ordered by score and then by place; the best pair is merged, the new
 neighbours join the agenda, stale entries are passed over. What is no piece in
 the end falls back to bytes. No piece holds a space after another character,
 so a text is cut there and each chunk is merged once while it stays in a
-bounded cache. All chunks that an Arrow batch merged anew, and all decoded
+cache that is bounded in bytes. All chunks that an Arrow batch merged anew, and all decoded
 texts, are checked against the sentencepiece library; a difference is an error.
 
 A null text counts as empty: it has the end id alone and decodes to the empty
@@ -25,32 +25,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import narrow, table, vocabulary
+from .common import BoundedCache, narrow, table, vocabulary
 
-LIMIT = 200_000
 MARK = "▁"
 CHUNKS = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 
 
-class _Cached(dict):
-    """What make gives, for LIMIT keys at least; the older half goes when it is full. Watched: new keys are listed in fresh."""
-
-    def __init__(self, make, watched=False):
-        self.make, self.watched, self.fresh, self.older = make, watched, [], {}
-
-    def __missing__(self, chunk):
-        if len(self) >= LIMIT:
-            self.older = dict(self)
-            self.clear()
-        got = self.older.get(chunk)
-        if got is None:
-            got = self.make(chunk)
-            if self.watched:
-                self.fresh.append((chunk, got))
-        self[chunk] = got
-        return got
-
-
 class Pieces:
     def __init__(self, path: str):
         import sentencepiece
@@ -71,8 +51,8 @@ class Pieces:
         self.text = [b"" if sp.is_control(i) else bytes([int(sp.id_to_piece(i)[3:5], 16)]) if sp.is_byte(i) else sp.id_to_piece(i).replace(MARK, " ").encode() for i in range(n)]
         self.decimal = [str(i) for i in range(n)]
         self.inside = {p[i : i + 2] for p in self.id for i in range(len(p) - 1)}
-        self.parts = _Cached(lambda part: np.array(self.merge(part), self.kind).tobytes())
-        self.chunks = _Cached(self._chunk, True)
+        self.parts = BoundedCache(lambda part: np.array(self.merge(part), self.kind).tobytes())
+        self.chunks = BoundedCache(self._chunk, [])
 
     def merge(self, text: str) -> list[int]:
         """Ids of a normalised text by the agenda."""

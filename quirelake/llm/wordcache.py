@@ -1,4 +1,4 @@
-"""Byte-pair encoders that look words up in a bounded cache.
+"""Byte-pair encoders that look words up in a cache which is bounded in bytes.
 
 A pre-token of either vocabulary never reaches over a space that follows a
 character which is no white space, so a text is cut there and each chunk is
@@ -16,13 +16,14 @@ from functools import lru_cache
 
 import numpy as np
 
+from .common import BoundedCache
+
 #: White_Space of Unicode, as the tokenizers' patterns take it.
 SPACES = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 PLAIN = re.compile(r"[\n -~\xa1-\xac\xae-\xff]*\Z")
 #: A run of white space which a cut at each space would tear.
 TORN = re.compile(rf" [{SPACES}]* ")
 CHUNKS = re.compile(rf"[{SPACES}]*[^{SPACES}]+|[{SPACES}]+")
-LIMIT = 300_000
 
 
 def _byte_of() -> dict[str, int]:
@@ -32,17 +33,6 @@ def _byte_of() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
 
 
-class _Cached(dict):
-    def __init__(self, make):
-        self.make = make
-
-    def __missing__(self, chunk):
-        if len(self) >= LIMIT:
-            self.clear()
-        got = self[chunk] = self.make(chunk)
-        return got
-
-
 class Encoder:
     """Ids of whole texts as little-endian unsigned 32-bit bytes."""
 
@@ -83,8 +73,8 @@ class Encoder:
 
         pattern = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+" if self.lowered else r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
         self.pretokens = regex.compile(pattern).findall
-        self.words = _Cached(self._chunk)
-        self.spaced = _Cached(lambda chunk: self._piece(" " + chunk) if chunk.isalpha() and PLAIN.match(chunk) else self._chunk(" " + chunk))
+        self.words = BoundedCache(self._chunk)
+        self.spaced = BoundedCache(lambda chunk: self._piece(" " + chunk) if chunk.isalpha() and PLAIN.match(chunk) else self._chunk(" " + chunk))
 
     def _library(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
