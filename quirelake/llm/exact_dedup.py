@@ -1,14 +1,16 @@
 """Exact dedup by a tree-merge of sorted digest runs, in DataFrame functions only.
 
-Each input partition is a run of (digest, best row so far). Partitions that
-differ only in the low bits of their index exchange their runs: a round merges
-2**bits runs at a time, and within a merged run a digest lies in one place.
-Spark's sort aggregate does the multiway merge; every level keeps one row for
-each digest: the best one, the count, and the bounds of a second hash and of
-the normalised length, by which a level verifies that all it merged are the
-same text. Rounds go on until one run is left, which lies over all partitions
-by digest. No level holds more than one row for a digest and run, so a digest
-with a third of all rows is a handful of rows from the first merge on.
+Each input partition is a run of (digest, best row so far): it is sorted by
+digest where it lies, and equal digests become one row there. Then runs whose
+numbers differ only in their low bits exchange their rows: a round merges
+2**bits runs (four), so R partitions take log R / bits rounds, as in a binomial
+tree; within a merged run a digest lies in one place. Spark's sort aggregate
+does the multiway merge; every level keeps one row for each digest: the best
+one, the count, and the bounds of a second hash and of the normalised length,
+by which a level verifies that all it merged are the same text. Rounds go on
+until one run is left, which lies over all partitions by digest. No level holds
+more than one row for a digest and run, so a digest with a third of all rows is
+a handful of rows from the first merge on.
 
 Nulls: a null text counts as empty. A null doc_id is a row like any other; it
 loses ties to every doc_id, and stays (with a null keep_id) only where all its
@@ -21,12 +23,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import narrow, table, written
+from .common import fresh, narrow, table, written
 
 #: The characters that equality ignores.
 IGNORED = "[\\x20\\x09-\\x0D]+"
 #: Runs merged at a time, as a power of two.
-ROUND_BITS = 5
+ROUND_BITS = 2
 #: Dropped rows are broadcast up to this many (24 bytes each); beyond it the join shuffles.
 BROADCAST_ROWS = 1_000_000
 
@@ -86,18 +88,23 @@ def exact_dedup(docs: DataFrame, bits: int = ROUND_BITS) -> DataFrame:
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """The rows of docs that stay, with all their columns."""
+    """The rows of docs that stay, with all their columns, whatever their names and types.
+
+    Of rows with the same doc_id and text one stays: the one whose columns, as JSON, come first.
+    """
     found = written(exact_dedup(docs).select("doc_id", "raw", "kept"), "decisions")
     fate = written(found.groupBy("doc_id", "raw").agg(F.max("kept").alias("any_kept"), F.min("kept").alias("all_kept")).where("NOT all_kept"), "dropped")
-    names = docs.columns
-    marked = docs.withColumn("own_raw", F.xxhash64(F.coalesce("text", F.lit(""))))
-    gone = fate.select(F.col("doc_id").alias("gone_id"), F.col("raw").alias("gone_raw"), "any_kept")
-    same = F.col("doc_id").eqNullSafe(F.col("gone_id")) & (F.col("own_raw") == F.col("gone_raw"))
+    own_raw, gone_id, gone_raw, any_kept, row = fresh(docs, "own_raw", "gone_id", "gone_raw", "any_kept", "row")
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    marked = docs.withColumn(own_raw, F.xxhash64(F.coalesce("text", F.lit(""))))
+    gone = fate.select(F.col("doc_id").alias(gone_id), F.col("raw").alias(gone_raw), F.col("any_kept").alias(any_kept))
+    same = F.col("doc_id").eqNullSafe(F.col(gone_id)) & (F.col(own_raw) == F.col(gone_raw))
     by = lambda df: F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
     stay = marked.join(by(gone), same, "left_anti").select(names)
     # Rows that occur more than once as a whole: one of them stays.
-    twice = marked.join(by(gone.where("any_kept")), same, "left_semi").groupBy("doc_id", "own_raw").agg(F.min(F.struct(*(F.col(f"`{c}`") for c in names))).alias("row")).select("row.*")
-    return stay.unionByName(twice)
+    whole = F.struct(*names)
+    twice = marked.join(by(gone.where(F.col(any_kept))), same, "left_semi").groupBy("doc_id", own_raw).agg(F.min_by(whole, F.to_json(whole)).alias(row))
+    return stay.unionByName(twice.select(f"{row}.*"))
 
 
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
