@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import narrow, table
+from .common import fresh, narrow, table
 
 #: Labelled documents that the field is trained on, at most.
 SAMPLE_DOCS = 3_000
@@ -262,7 +262,8 @@ def fitted(docs: DataFrame, labels: DataFrame, n: int = SAMPLE_DOCS) -> LineFiel
 
 
 def scored(docs: DataFrame, field: LineField) -> DataFrame:
-    """docs (all its columns) and score."""
+    """docs (all its columns) and the score, as quality_score in the last place; underscores are added where docs has such a column."""
+    (name,) = fresh(docs, "quality_score")
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -274,11 +275,11 @@ def scored(docs: DataFrame, field: LineField) -> DataFrame:
                 if held >= 1 << 20 or i == len(texts) - 1:
                     out[start : i + 1] = field.score(texts[start : i + 1])
                     start, held = i + 1, 0
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out)], [*batch.schema.names, "quality_score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out)], [*batch.schema.names, name])
 
     narrow(docs)  # ships the package
     out = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(each, f"{out}, quality_score double")
+    return docs.mapInArrow(each, f"{out}, `{name}` double")
 
 
 def op5_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -28,7 +28,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -166,6 +165,12 @@ def _matrix(vectors) -> np.ndarray:
     return out.astype(np.int32)
 
 
+def _ids(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Which ids are null, the ids (0 for null), the row numbers."""
+    ids = rows.column("id").combine_chunks()
+    return ids.is_null().to_numpy(zero_copy_only=False), ids.fill_null(0).to_numpy(zero_copy_only=False), rows.column("row").to_numpy()
+
+
 def scaled(vectors: DataFrame) -> DataFrame:
     """row, id, vector (floor of 64 times each component) of the rows of vectors (vec_id, embedding) that take part."""
     fine = F.forall("embedding", lambda x: F.coalesce(~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) < float("inf")), F.lit(False)))
@@ -178,22 +183,22 @@ def top_k(candidates: DataFrame, queries: DataFrame, k: int, shard: int = SHARD,
     n, m = candidates.count(), queries.count()
     shards, blocks = max(12, -(-n // shard)), max(1, -(-m // block))
 
-    def tree(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        ids = rows["id"].fillna(NO_ID).to_numpy(dtype=np.int64) if rows["id"].isna().any() else rows["id"].to_numpy(dtype=np.int64)
-        own = rows["row"].to_numpy(dtype=np.int64)
-        order = np.lexsort((own, ids))
+    def tree(key: tuple, rows: pa.Table) -> pa.Table:
+        none, ids, own = _ids(rows)
+        order = np.lexsort((own, ids, none))
         rank = np.empty(len(ids), np.int64)
         rank[order] = np.arange(len(ids))
-        made = MTree(_matrix(rows["vector"].to_list()), order, k + 1)
-        return pd.DataFrame({"shard": [key[0]], "tree": [pickle.dumps((made, ids, own, rank))]})
+        made = MTree(_matrix(rows.column("vector").to_pylist()), order, k + 1)
+        return pa.table({"shard": pa.array([key[0].as_py()], pa.int32()), "tree": pa.array([pickle.dumps((made, none, ids, own, rank))], pa.binary())})
 
-    def packed(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"block": [key[0]], "queries": [pickle.dumps((_matrix(rows["vector"].to_list()), rows["id"].to_numpy(dtype=np.int64), rows["row"].to_numpy(dtype=np.int64)))]})
+    def packed(key: tuple, rows: pa.Table) -> pa.Table:
+        _, ids, own = _ids(rows)
+        return pa.table({"block": pa.array([key[0].as_py()], pa.int32()), "queries": pa.array([pickle.dumps((_matrix(rows.column("vector").to_pylist()), ids, own))], pa.binary())})
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for made, asked in zip(batch.column("tree"), batch.column("queries"), strict=True):
-                tree, ids, own, rank = pickle.loads(made.as_py())
+                tree, none, ids, own, rank = pickle.loads(made.as_py())
                 q, query_id, query_row = pickle.loads(asked.as_py())
                 size = max(tree.points.shape[1], q.shape[1])
                 if tree.points.shape[1] < size:
@@ -204,12 +209,11 @@ def top_k(candidates: DataFrame, queries: DataFrame, k: int, shard: int = SHARD,
                 score, row, _ = tree.search(q, left_out, k, rank)
                 who, place = np.nonzero(row >= 0)
                 hit = row[who, place]
-                none = ids[hit] == NO_ID
-                yield pa.RecordBatch.from_arrays([pa.array(query_row[who]), pa.array(query_id[who]), pa.array(ids[hit], mask=none), pa.array(own[hit]), pa.array(score[who, place].astype(np.int64))], ["query_row", "query_id", "vec_id", "row", "score"])
+                yield pa.RecordBatch.from_arrays([pa.array(query_row[who]), pa.array(query_id[who]), pa.array(ids[hit], mask=none[hit]), pa.array(own[hit]), pa.array(score[who, place].astype(np.int64))], ["query_row", "query_id", "vec_id", "row", "score"])
 
     deal = lambda df, n, name: df.withColumn(name, F.pmod(F.xxhash64("row"), F.lit(n)).cast("int"))
-    trees = written(deal(candidates, shards, "shard").groupBy("shard").applyInPandas(tree, "shard int, tree binary"), "trees")
-    asked = written(deal(queries, blocks, "block").groupBy("block").applyInPandas(packed, "block int, queries binary"), "blocks")
+    trees = written(deal(candidates, shards, "shard").groupBy("shard").applyInArrow(tree, "shard int, tree binary"), "trees")
+    asked = written(deal(queries, blocks, "block").groupBy("block").applyInArrow(packed, "block int, queries binary"), "blocks")
     # A stated set of queries against all shards, block by block: each shard's tree is read by one task.
     met = asked.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).repartition(shards, "shard")
     found = met.join(trees.repartition(shards, "shard"), "shard").select("tree", "queries")

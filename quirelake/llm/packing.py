@@ -1,6 +1,6 @@
 """Best-fit packing of token sequences, improved by swap-based local search.
 
-Pieces are dealt by a hash of doc_id into groups of about GROUP pieces, each
+Pieces are dealt by a hash of their row into groups of about GROUP pieces, each
 packed alone, so the whole costs less than one extra sequence for each group.
 In a group, best-fit decreasing gives a first packing. Then the emptiest bin
 gives its documents away: a document moves into a bin with room, or is
@@ -21,7 +21,6 @@ from bisect import bisect_left, insort
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -160,23 +159,24 @@ def pack(sizes: np.ndarray, room: int) -> list[list[int]]:
 
 
 def packed(cut_pieces: DataFrame, room: int, group: int = GROUP) -> DataFrame:
-    """cut_pieces (doc_id, piece, length, ...) with sequence_id and offset."""
+    """cut_pieces (doc_id, piece, length, ...; a written table) with sequence_id and offset."""
     total = cut_pieces.count()
     groups = max(1, -(-total // group))
-    out = cut_pieces.schema.simpleString()[7:-1].replace(":", " ").replace(",", ", ")
+    out = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in cut_pieces.schema)
     names = cut_pieces.columns
 
-    def place(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["length", "doc_id", "piece"], ascending=[False, True, True], kind="stable").reset_index(drop=True)
-        sizes = rows["length"].to_numpy(dtype=np.int64)
-        sequence, offset = np.empty(len(rows), np.int64), np.empty(len(rows), np.int64)
+    def place(key: tuple, rows: pa.Table) -> pa.Table:
+        rows = rows.select(names).sort_by([("length", "descending"), ("doc_id", "ascending"), ("piece", "ascending")])
+        sizes = rows.column("length").to_numpy()
+        sequence, offset = np.empty(len(sizes), np.int64), np.empty(len(sizes), np.int64)
         for b, own in enumerate(pack(sizes, room)):
-            sequence[own] = (int(key[0]) << 32) + b
+            sequence[own] = (key[0].as_py() << 32) + b
             offset[own] = np.cumsum(sizes[own]) - sizes[own]
-        return rows.assign(sequence_id=sequence, offset=offset)[[*names, "sequence_id", "offset"]]
+        return rows.append_column("sequence_id", pa.array(sequence)).append_column("offset", pa.array(offset))
 
-    dealt = cut_pieces.withColumn("pack_group", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(groups)).cast("long"))
-    return dealt.groupBy("pack_group").applyInPandas(place, f"{out}, sequence_id bigint, offset bigint")
+    # Dealt by the row's number in the table, so rows that are alike in everything are spread too.
+    dealt = cut_pieces.withColumn("pack_group", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(groups)).cast("long"))
+    return dealt.groupBy("pack_group").applyInArrow(place, f"{out}, sequence_id bigint, offset bigint")
 
 
 def pack_documents(docs: DataFrame, path: str, room: int = 2048, end_id: int = 0, with_ids: bool = False) -> DataFrame:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import narrow, table
+from .common import fresh, narrow, table
 
 ASSIGN = re.compile(r"""(?ai)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
@@ -129,8 +129,12 @@ def sample_texts(docs: DataFrame, n: int = SAMPLE_DOCS) -> list[str]:
 
 
 def find_secrets(docs: DataFrame, model: Markov | None = None) -> DataFrame:
-    """doc_id, text, kinds, starts, ends: all spans of each text by start, then kind as in KINDS, then markov."""
+    """docs (all its columns) and, in the last three places, kinds, starts, ends: all spans of each text by start, then kind as in KINDS, then markov.
+
+    Underscores are added to the names of those that docs has. A null text comes back empty.
+    """
     model = model or train(sample_texts(docs))
+    added = fresh(docs, "kinds", "starts", "ends")
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [*KINDS, "markov"]
@@ -142,12 +146,12 @@ def find_secrets(docs: DataFrame, model: Markov | None = None) -> DataFrame:
                 every = sorted(base + model.spans(text, base))
                 rows.append(([names[k] for _, k, _ in every], [a for a, _, _ in every], [b for _, _, b in every]))
             cols = list(zip(*rows, strict=True)) if rows else [[]] * 3
-            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(c, pa.list_(t)) for c, t in zip(cols, (pa.string(), pa.int64(), pa.int64()), strict=True))], [*batch.schema.names, "kinds", "starts", "ends"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(c, pa.list_(t)) for c, t in zip(cols, (pa.string(), pa.int64(), pa.int64()), strict=True))], [*batch.schema.names, *added])
 
     docs = docs.withColumn("text", F.coalesce("text", F.lit("")))
     narrow(docs)  # ships the package
     out = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(scan, f"{out}, kinds array<string>, starts array<bigint>, ends array<bigint>")
+    return docs.mapInArrow(scan, f"{out}, `{added[0]}` array<string>, `{added[1]}` array<bigint>, `{added[2]}` array<bigint>")
 
 
 def redacted(docs: DataFrame, mark: str = "[SECRET]", model: Markov | None = None) -> DataFrame:

@@ -122,7 +122,7 @@ def judge(pages: DataFrame, outcomes: DataFrame, rules=RULES, z: float = Z, leas
 
 def page_outcomes(pages: DataFrame, labels: DataFrame) -> DataFrame:
     """Outcomes of the pages whose path names a labelled document: good if all its labels say good quality and none toxic."""
-    number = F.regexp_extract(split_url(F.col("url"))[1], "^/[a-z]+/([0-9]{1,18})", 1)
+    number = F.regexp_extract(split_url(F.col("url"))[1], "^/[a-z]+/([0-9]+)", 1)
     named = pages.select("page_id", number.try_cast("bigint").alias("doc_id")).where("doc_id IS NOT NULL")
     good = (F.coalesce("quality", F.lit(1)) == 1) & (F.coalesce("toxic", F.lit(0)) == 0)
     marked = labels.where("doc_id IS NOT NULL AND coalesce(quality, toxic) IS NOT NULL").groupBy("doc_id").agg(F.min(good).alias("good"))
@@ -137,7 +137,7 @@ def op8_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLE = rf"""
 WITH u AS (SELECT page_id, translate(regexp_extract(coalesce(url, ''), '^.*?://([^/?#]*)([^?#]*)', 1, 's'), '{UPPER}', '{LOWER}') AS host, regexp_extract(coalesce(url, ''), '^.*?://([^/?#]*)([^?#]*)', 2, 's') AS path FROM pages),
 marked AS (SELECT doc_id, min(CASE WHEN coalesce(quality, 1) = 1 AND coalesce(toxic, 0) = 0 THEN 1 ELSE 0 END) AS good FROM labels WHERE coalesce(quality, toxic) IS NOT NULL GROUP BY 1),
-o AS (SELECT u.*, good FROM u LEFT JOIN marked ON try_cast(regexp_extract(path, '^/[a-z]+/([0-9]{{1,18}})', 1) AS BIGINT) = doc_id),
+o AS (SELECT u.*, good FROM u LEFT JOIN marked ON try_cast(regexp_extract(path, '^/[a-z]+/([0-9]+)', 1) AS BIGINT) = doc_id),
 hosts AS (SELECT host, cast(count(good) AS DOUBLE) AS n, cast(coalesce(sum(good), 0) AS DOUBLE) AS good, string_split(host, '.') AS p FROM o GROUP BY host),
 h AS (SELECT host, n, good, CASE WHEN len(p) > 1 THEN p[-2] || '.' || p[-1] ELSE host END AS domain, p[-1] AS suffix FROM hosts),
 d AS (SELECT domain, suffix, sum(n) AS n, sum(good) AS good FROM h GROUP BY ALL),
