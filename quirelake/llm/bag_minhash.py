@@ -16,12 +16,17 @@ first. In a bucket all rows are compared with a pivot, the row with the most
 company in its buckets: mostly the text that the others are copies of. Each
 such pair is verified once, by exact multiset overlap, and verified links give
 connected components by alternating large and small stars. That leaves pairs of
-a bucket in different components. They are not listed: their rows lie together
-by bucket (a large bucket in blocks), each pair is looked at in the first of the
-buckets that it shares, and is compared by sketch (a byte for each slot). Pairs
-whose sketches agree as those of similar texts do, up to FAR standard deviations
-less, are compared by their multisets in 32 bits there and then, and only those
-that are similar come out, are verified as well, and join components.
+a bucket in different components. They are not listed. The rows of a bucket's
+largest component need not meet each other, only the others, which are few
+where a bucket is large because of copies. A bucket that is too large for one
+block is cut into blocks by rows and by bytes, those of the largest component
+apart; each two blocks that have to meet do so in a task of their own. A pair
+is looked at in the first of the buckets that it shares, and is compared by
+sketch (a byte for each slot). Pairs whose sketches agree as those of similar
+texts do, up to FAR standard deviations less, are compared by their multisets
+in 32 bits there and then, and only those that are similar come out, are
+verified as well, and join components. The work left grows with the product of
+the rows outside a bucket's largest component and the bucket.
 
 Null or empty texts, and texts of white space, have no shingle and are classes
 of their own. Rows with the same doc_id are one node, whichever texts they
@@ -45,10 +50,12 @@ WORDS, SIMILARITY = 5, 0.8
 BANDS, ROWS = 25, 5
 #: Standard deviations below the expected agreement of sketches at which a pair is passed over (one in three million).
 FAR = 5.0
-#: Rows of a bucket that are compared with each other at a time.
-BLOCK = 2_048
+#: Rows of a bucket, and bytes of their multisets, in a block.
+BLOCK, BLOCK_BYTES = 2_048, 32 << 20
+#: Pairs of one pivot in a task, about.
+SALT = 4_096
 #: Ids are broadcast up to this many (16 bytes each); beyond it the join shuffles.
-BROADCAST_IDS = 1_000_000
+BROADCAST_IDS = 200_000
 U = np.uint64
 GOLDEN = U(0x9E3779B97F4A7C15)
 _SPACE = np.zeros(256, bool)
@@ -162,7 +169,7 @@ def _batches(texts: list[str], most: int = 1 << 20) -> Iterator[tuple[int, int]]
 
 
 def sketches(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """id, digest (of the multiset; null without shingles), keys (one for each band), sketch (a byte for each slot)."""
+    """id, digest (of the multiset; null without shingles), keys (one for each band), sketch (a byte for each slot), size (shingles)."""
 
     def made_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -178,9 +185,10 @@ def sketches(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame
                         short[i] = sketch.tobytes()
                         digests[i] = hashlib.blake2b(bags[i][0].tobytes() + bags[i][1].tobytes(), digest_size=16).digest()
                         keys[i] = own
-                yield pa.RecordBatch.from_arrays([ids[a:b], pa.array(digests, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(short, pa.binary())], ["id", "digest", "keys", "sketch"])
+                sizes = [int(c.sum()) for _, c in bags]
+                yield pa.RecordBatch.from_arrays([ids[a:b], pa.array(digests, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(short, pa.binary()), pa.array(sizes, pa.int64())], ["id", "digest", "keys", "sketch", "size"])
 
-    return narrow(docs).where("doc_id IS NOT NULL").mapInArrow(made_of, "id bigint, digest binary, keys array<bigint>, sketch binary")
+    return narrow(docs).where("doc_id IS NOT NULL").mapInArrow(made_of, "id bigint, digest binary, keys array<bigint>, sketch binary, size bigint")
 
 
 def bags(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -200,35 +208,53 @@ def bags(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def verified(pairs: DataFrame, elements: DataFrame) -> DataFrame:
-    """a, b, similarity of pairs (a, b) by exact overlap."""
-    left = elements.select(F.col("id").alias("a"), F.col("elements").alias("of_a"))
-    right = elements.select(F.col("id").alias("b"), F.col("elements").alias("of_b"))
+    """a, b, similarity of pairs (a, b; a written table) by exact overlap. The pairs of a pivot with many are dealt over several tasks."""
+    times = pairs.select(F.explode(F.array("a", "b")).alias("pivot")).groupBy("pivot").agg(F.floor(F.count("*") / SALT).cast("int").alias("parts")).where("parts > 0")
+    times = written(times, "pivot-parts")
+    few = times.count() <= BROADCAST_IDS
+    parts = F.broadcast(times) if few else times
+
+    def salted(df: DataFrame, end: str) -> DataFrame:
+        """df with the number of parts of the id in end, 0 for all but the pivots with many pairs."""
+        return df.join(parts.withColumnRenamed("pivot", end).withColumnRenamed("parts", f"{end}_parts"), end, "left").withColumn(f"{end}_parts", F.coalesce(f"{end}_parts", F.lit(0)))
+
+    def copies(end: str) -> DataFrame:
+        rows = salted(elements.select(F.col("id").alias(end), F.col("elements").alias(f"of_{end}")), end)
+        return rows.withColumn(f"{end}_part", F.explode(F.sequence(F.lit(0), F.col(f"{end}_parts")))).drop(f"{end}_parts")
+
+    salt = lambda end, other: F.pmod(F.xxhash64(other), F.col(f"{end}_parts") + 1).cast("int").alias(f"{end}_part")
+    asked = salted(salted(pairs, "a"), "b").select("a", "b", salt("a", "b"), salt("b", "a"))
     both = F.size(F.array_intersect("of_a", "of_b"))
-    found = pairs.join(right, "b").join(left, "a").select("a", "b", (both / (F.size("of_a") + F.size("of_b") - both)).alias("similarity"))
+    found = asked.join(copies("b"), ["b", "b_part"]).join(copies("a"), ["a", "a_part"]).select("a", "b", (both / (F.size("of_a") + F.size("of_b") - both)).alias("similarity"))
     return found.groupBy("a", "b").agg(F.max("similarity").alias("similarity"))
 
 
+#: Which rows of a task meet: those of side 0 with those of side 1, or all with each other.
+LEFT, RIGHT, ALL = 0, 1, 2
+
+
 def alike(rows: DataFrame, least: int, similarity: float) -> DataFrame:
-    """a, b of the pairs of a bucket and block in different components that are similar, each from the first bucket that it shares.
+    """a, b of the pairs of a meeting in different components that are similar, each from the first bucket that it shares.
 
-    rows: bucket, band, block, id, other, component, sketch, keys, short. They have to lie together by bucket and block and be sorted by them; other is true for rows that only stand for another block. least: bytes of two sketches that have to agree.
+    rows: bucket, band, meeting, side, id, component, sketch, keys, short. They have to lie together by bucket and meeting and be sorted by them. least: bytes of two sketches that have to agree.
     """
 
     def compare(band: int, held: list[tuple]) -> pa.RecordBatch:
-        ids, comps, other = (np.array([r[k] for r in held]) for k in (0, 1, 2))
+        side, ids, comps = (np.array([r[k] for r in held]) for k in (0, 1, 2))
         sketch = np.frombuffer(b"".join(r[3] for r in held), np.uint8).reshape(len(held), -1)
         keys = np.array([r[4] for r in held], np.int64)[:, :band]
         sets = [np.frombuffer(r[5], "<u4") for r in held]
-        own, a, b = np.flatnonzero(~other), [], []
-        for i in own:
-            j = np.flatnonzero((comps != comps[i]) & ((ids > ids[i]) | other))
+        a, b = [], []
+        for i in np.flatnonzero(side != RIGHT):
+            j = np.flatnonzero((comps != comps[i]) & ((side == RIGHT) if side[i] == LEFT else (ids > ids[i])))
             j = j[(sketch[j] == sketch[i]).sum(axis=1) >= least]
             j = j[~(keys[j] == keys[i]).any(axis=1)]
             for k in j:
                 x, y = sets[i], sets[k]
                 both = len(np.intersect1d(x, y))
-                # Two elements may have met in 32 bits, in either set.
-                if both + 2 >= similarity * (len(x) + len(y) - both - 2):
+                # Elements may have met in 32 bits, in either set: the more, the larger the sets.
+                lost = 8 + (max(len(x), len(y)) ** 2 >> 30)
+                if both + lost >= similarity * (len(x) + len(y) - both - lost):
                     a.append(min(ids[i], ids[k]))
                     b.append(max(ids[i], ids[k]))
         return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
@@ -236,11 +262,11 @@ def alike(rows: DataFrame, least: int, similarity: float) -> DataFrame:
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, held = None, []
         for batch in batches:
-            for bucket, band, block, *row in zip(*(batch.column(c).to_pylist() for c in ("bucket", "band", "block", "id", "component", "other", "sketch", "keys", "short")), strict=True):
-                if (bucket, band, block) != key:
+            for bucket, band, meeting, *row in zip(*(batch.column(c).to_pylist() for c in ("bucket", "band", "meeting", "side", "id", "component", "sketch", "keys", "short")), strict=True):
+                if (bucket, band, meeting) != key:
                     if len(held) > 1:
                         yield compare(key[1], held)
-                    key, held = (bucket, band, block), []
+                    key, held = (bucket, band, meeting), []
                 held.append(row)
         if len(held) > 1:
             yield compare(key[1], held)
@@ -248,8 +274,32 @@ def alike(rows: DataFrame, least: int, similarity: float) -> DataFrame:
     return rows.mapInArrow(each, "a bigint, b bigint")
 
 
+def meetings(apart: DataFrame) -> DataFrame:
+    """bucket, band, id, component, meeting, side: which rows (bucket, band, id, size, component) of buckets with several components have to meet where."""
+    parts = apart.groupBy("bucket", "component").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"))
+    parts = parts.groupBy("bucket").agg(F.max_by(F.struct("component", "n", "bytes"), F.struct("n", -F.col("component"))).alias("most"), F.sum("n").alias("n"), F.sum("bytes").alias("bytes"), F.count("*").alias("components"))
+    blocks = lambda n, size: F.ceil(F.greatest(n / BLOCK, size / BLOCK_BYTES)).cast("int")
+    cut = parts.where("components > 1").select(
+        "bucket", F.col("most.component").alias("largest"), (blocks(F.col("n"), F.col("bytes")) == 1).alias("whole"),
+        blocks(F.col("most.n"), F.col("most.bytes")).alias("inner"), blocks(F.col("n") - F.col("most.n"), F.col("bytes") - F.col("most.bytes")).alias("outer"),
+    )
+    cut = written(cut, "cuts")
+    rows = apart.join(F.broadcast(cut) if cut.count() <= BROADCAST_IDS else cut, "bucket")
+    inside = F.col("component") == F.col("largest")
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("id"), F.when(inside, F.col("inner")).otherwise(F.col("outer"))).cast("int"))
+    number = lambda kind, i, j: F.concat_ws(",", F.lit(kind), i.cast("string"), j.cast("string"))
+    own, upto = F.col("own"), lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    place = lambda meeting, side: F.struct(meeting.alias("meeting"), side.cast("int").alias("side"))
+    # Blocks of the largest component meet those of the others, which also meet each other.
+    inner = F.transform(upto("outer"), lambda j: place(number("x", own, j), F.lit(LEFT)))
+    across = F.transform(upto("inner"), lambda i: place(number("x", i, own), F.lit(RIGHT)))
+    others = F.transform(upto("outer"), lambda j: place(number("y", F.least(own, j), F.greatest(own, j)), F.when(own == j, F.lit(ALL)).when(own < j, F.lit(LEFT)).otherwise(F.lit(RIGHT))))
+    to = F.when(F.col("whole"), F.array(place(F.lit(""), F.lit(ALL)))).when(inside, inner).otherwise(F.concat(across, others))
+    return rows.withColumn("to", F.explode(to)).select("bucket", "band", "id", "component", "to.meeting", "to.side")
+
+
 def links(members: DataFrame, about: DataFrame, docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """Verified links (a, b) that connect all rows which share a bucket and are similar; members: bucket, band, id; about: id, sketch, keys."""
+    """Verified links (a, b) that connect all rows which share a bucket and are similar; members: bucket, band, id, size; about: id, sketch, keys."""
     sizes = written(members.groupBy("bucket").agg(F.count("*").alias("n"), F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("bucket", "n"), "buckets")
     left = written(members.join(sizes, "bucket"), "members")
     company = left.groupBy("id").agg(F.sum("n").alias("company"))
@@ -260,18 +310,12 @@ def links(members: DataFrame, about: DataFrame, docs: DataFrame, similarity: flo
     near = tested.where(F.col("similarity") >= similarity).select("a", "b")
     # What is left: rows of buckets of three or more that lie in different components.
     found = written(components(near), "parts")
-    apart = left.where("n > 2").join(found, "id", "left").select("bucket", "band", "id", "n", F.coalesce("class_id", "id").alias("component"))
-    apart = written(apart, "apart")
-    several = apart.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("bucket")
-    apart = apart.join(several, "bucket")
+    apart = left.where("n > 2").join(found, "id", "left").select("bucket", "band", "id", (F.col("size") * 4).alias("size"), F.coalesce("class_id", "id").alias("component"))
     carried = about.join(elements.select("id", "short"), "id")
-    # A large bucket is cut into blocks; a row meets its own block, and stands for it in the blocks before.
-    blocks, own = F.ceil(F.col("n") / BLOCK).cast("int"), F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / BLOCK)).cast("int")
-    apart = apart.withColumn("own", own).withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1))).where("block <= own").withColumn("other", F.col("block") != F.col("own"))
-    apart = apart.join(carried, "id").select("bucket", "band", "block", "id", "component", "other", "sketch", "keys", "short").repartition("bucket", "block").sortWithinPartitions("bucket", "band", "block")
+    rows = meetings(written(apart, "apart")).join(carried, "id").select("bucket", "band", "meeting", "side", "id", "component", "sketch", "keys", "short").repartition("bucket", "meeting").sortWithinPartitions("bucket", "band", "meeting")
     slots = BANDS * ROWS
     least = int(slots * similarity - FAR * (slots * similarity * (1 - similarity)) ** 0.5)
-    more = written(alike(apart, least, similarity).distinct().join(tested.select("a", "b"), ["a", "b"], "left_anti"), "more")
+    more = written(alike(rows, least, similarity).distinct().join(tested.select("a", "b"), ["a", "b"], "left_anti"), "more")
     return near.unionByName(written(verified(more, elements), "links").where(F.col("similarity") >= similarity).select("a", "b"))
 
 
@@ -302,9 +346,9 @@ def components(edges: DataFrame) -> DataFrame:
 def near_dedup(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """doc_id, class_id (least doc_id of the class), class_size for each row of docs (doc_id, text)."""
     sketched = written(sketches(docs), "sketches")
-    reps = sketched.where("digest IS NOT NULL").groupBy("digest").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch"))
+    reps = sketched.where("digest IS NOT NULL").groupBy("digest").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch"), F.first("size").alias("size"))
     reps = written(reps, "representatives")
-    members = reps.select(F.posexplode("keys").alias("band", "bucket"), F.col("rep").alias("id"))
+    members = reps.select(F.posexplode("keys").alias("band", "bucket"), F.col("rep").alias("id"), "size")
     about = reps.select(F.col("rep").alias("id"), "sketch", "keys")
     found = written(components(links(members, about, docs, similarity)), "components")
     classes = reps.select("digest", F.col("rep").alias("id"), "copies").join(found, "id", "left").select("digest", F.coalesce("class_id", "id").alias("class_id"), "copies")
@@ -328,3 +372,15 @@ def near_dedup(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
 def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_dedup(table(spark, sf_dir, "documents"))
     return found.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(True)))
+
+
+ORACLE = r"""
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\t-\r ]+'), lambda x: x <> '') AS ws FROM documents WHERE doc_id IS NOT NULL),
+s AS (SELECT doc_id, shingle, count(*) AS n FROM (SELECT doc_id, unnest(list_transform(range(1, len(ws) - least(5, len(ws)) + 2), lambda i: array_to_string(ws[i:i + least(5, len(ws)) - 1], ' '))) AS shingle FROM w WHERE len(ws) > 0) GROUP BY ALL),
+t AS (SELECT doc_id, sum(n) AS n FROM s GROUP BY 1),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, sum(least(a.n, b.n)) AS overlap FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY ALL),
+e AS (SELECT a, b FROM p JOIN t x ON a = x.doc_id JOIN t y ON b = y.doc_id WHERE 5 * overlap >= 4 * (x.n + y.n - overlap)),
+reach(a, b) AS (SELECT a, b FROM e UNION SELECT b, a FROM e UNION SELECT reach.a, x.b FROM reach JOIN (SELECT a, b FROM e UNION ALL SELECT b, a FROM e) x ON reach.b = x.a),
+c AS (SELECT documents.doc_id, least(documents.doc_id, coalesce(min(b), documents.doc_id)) AS class_id FROM documents LEFT JOIN reach ON doc_id = a GROUP BY 1)
+SELECT doc_id, class_id, count(*) OVER (PARTITION BY class_id) AS class_size, doc_id = class_id AS kept FROM c
+"""

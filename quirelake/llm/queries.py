@@ -20,5 +20,7 @@ QUERIES = {
 ORACLE_SQL = {
     "op2_mtree_top_k": mtree.ORACLE,
     "op3_exact_dedup": exact_dedup.ORACLE,
+    "op6_suffix_dedup": suffix_dedup.ORACLE,
+    "op7_near_dedup": bag_minhash.ORACLE,
     "op8_url_reputation": url_filter.ORACLE,
 }

@@ -77,7 +77,7 @@ def test_word_encoders():
 def test_top_k(spark):
     rnd = random.Random(2)
     rows = [(i, [rnd.choice([-1.0, 0.5, 0.25, 0.1, 2.0]) for _ in range(4)], "x") for i in range(150)]
-    rows += [(200, None, "x"), (201, [1.0, None, 0.0, 0.0], "x"), (202, [float("nan"), 0.0, 0.0, 0.0], "x"), (203, [float("inf")] * 4, "x"), (204, [], "x"), (205, [1.0, 1.0], "x"), (None, [0.5] * 4, "x"), (20, [2.0, 2.0, 2.0, 2.0], "again")]
+    rows += [(200, None, "x"), (201, [1.0, None, 0.0, 0.0], "x"), (202, [float("nan"), 0.0, 0.0, 0.0], "x"), (203, [float("inf")] * 4, "x"), (204, [], "x"), (205, [1.0, 1.0], "x"), (None, [2.0] * 4, "x"), (20, [2.0, 2.0, 2.0, 2.0], "again"), (2**63 - 1, [2.0] * 4, "x"), (2**53 + 1, [1.9] * 4, "x"), (None, [1.9] * 4, "x")]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, score string").repartition(4)
     vectors = mtree.written(mtree.scaled(df), "v")
     got = defaultdict(list)
@@ -90,6 +90,7 @@ def test_top_k(spark):
             found = sorted((-int(np.dot(a, b)), i is None, i or 0) for j, (i, b) in enumerate(fine) if j != k)[:7]
             want[q] += [(n + 1, None if none else i, -s) for n, (s, none, i) in enumerate(found)]
     key = lambda x: (x[0], x[2], str(x[1]))
+    assert {None, 2**63 - 1, 2**53 + 1} <= {i for v in want.values() for _, i, _ in v}
     assert {q: sorted(v, key=key) for q, v in got.items()} == {q: sorted(v, key=key) for q, v in want.items()}
     none = mtree.scaled(df.where("false"))
     assert mtree.top_k(none, none, 3).collect() == []
@@ -133,6 +134,33 @@ def test_exact_dedup(docs, texts, nothing):
     assert exact_dedup.exact_dedup(nothing).collect() == []
 
 
+def test_runs_merge_in_rounds(spark):
+    """Runs go by fours: 20, 5, 2, 1; each round is a sorted merge behind an exchange, and verifies what it merges."""
+    rows = spark.range(2_000).select((F.col("id") % 20).cast("int").alias("run"), F.col("id").alias("doc_id"), F.col("id").alias("copy"), F.lit(3).alias("size"), F.unhex(F.sha2((F.col("id") % 300).cast("string"), 256)).alias("digest"), (F.col("id") % 300).alias("second"), F.lit(5).alias("bare"))
+    out = exact_dedup.merged(rows, 20)
+    plan = out._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("SortAggregate") == 6
+    assert {(r.best.doc_id, r.copies) for r in out.collect()} == {(i, 7 if i < 200 else 6) for i in range(300)}
+    torn = rows.withColumn("second", F.when(F.col("doc_id") == 7, F.lit(8)).otherwise(F.col("second")))
+    with pytest.raises(Exception, match="two texts share"):
+        exact_dedup.merged(torn, 20).collect()
+
+
+def test_helper_names_as_columns(spark):
+    """Columns of the user's that are called as the operators call theirs come through as they are."""
+    rows = [(1, "good text " * 20, "a", {"k": 1}, 2.5, "g"), (2, "good  text " * 20, "b", {"k": 2}, 1.5, "h"), (2, "good  text " * 20, "c", None, None, None), (3, "password=hunter22x", None, {}, 0.5, "i"), (None, None, "d", {"z": 1}, 0.0, "j")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, own_raw string, gone_id map<string,int>, quality_score double, KINDS string")
+    kept = exact_dedup.deduplicated(docs)
+    assert kept.columns == docs.columns
+    assert sorted(((r.doc_id or 0, r.own_raw, r.gone_id, r.quality_score, r.KINDS) for r in kept.collect()), key=str) == sorted([(2, "b", {"k": 2}, 1.5, "h"), (3, None, {}, 0.5, "i"), (0, "d", {"z": 1}, 0.0, "j")], key=str)
+    labels = spark.createDataFrame([(1, 1), (3, 0), (2, 1)], "doc_id long, quality int")
+    scored = line_crf.scored(docs, line_crf.fitted(docs, labels))
+    assert scored.columns == [*docs.columns, "quality_score_"] and sorted((str(r.quality_score), r.own_raw) for r in scored.collect()) == sorted((str(r[4]), r[2]) for r in rows)
+    found = secrets.find_secrets(docs)
+    assert found.columns == [*docs.columns, "kinds_", "starts", "ends"]
+    assert [(r.KINDS, r.kinds_, r.starts, r.ends) for r in found.where("doc_id = 3").collect()] == [("i", ["assign"], [0], [18])]
+
+
 def test_deduplicated_rows(docs, texts, nothing):
     bare, groups = expected_groups(texts)
     got = exact_dedup.deduplicated(docs)
