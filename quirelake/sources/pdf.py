@@ -166,7 +166,9 @@ def rows_of(relation: str, doc_id, data: bytes, password: str = "", options: dic
     from quirelake.kernel.objects import PdfError
 
     try:
-        yield from list(READERS[relation](doc_id, parse(data or b"", password), options or {}))
+        if data is None:
+            raise PdfError("size", "no content: it is null, or larger than the bound of read_files")
+        yield from list(READERS[relation](doc_id, parse(data, password), options or {}))
     except Exception as e:  # noqa: BLE001 - whatever a hostile file does becomes a row
         if relation == "documents_meta":
             kind = e.kind if isinstance(e, PdfError) else type(e).__name__

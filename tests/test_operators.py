@@ -95,3 +95,12 @@ def test_sessions(spark):
     wrote = endpoint.sessions(files, [ask("updateText"), ask("getTextBlocks")]).first()
     assert wrote.content is not None and "two" in wrote.responses[1]
     assert endpoint.sessions(files, []).first().responses == []
+
+
+def test_content_rewritten(spark):
+    files = generated.documents_as_files(spark.createDataFrame([(1, "one\ntwo"), (2, "three")], "doc_id long, text string"))
+    done = edits.rewritten_content(files, lambda instructions: [i for i in instructions if i.op != "Tj" or b"o" not in i.args[0]])
+    assert sorted(r.text for r in pdf.relation(done, "text_elements").collect()) == ["three"] and done.where("error IS NOT NULL").count() == 0
+    assert pdf.relation(edits.rewritten_content(files, lambda i: [], {5}), "text_elements").count() == 3
+    bad = files.withColumn("content", F.lit(None).cast("binary"))
+    assert "no content" in pdf.relation(bad, "documents_meta").first().error
