@@ -305,9 +305,11 @@ def test_quality_of_odd_texts(docs, texts, nothing, spark):
     assert line_crf.scored(nothing, line_crf.fitted(nothing, labels)).collect() == []
 
 
-def test_suffix_order():
+def test_suffix_order(monkeypatch):
+    """With budgets of which a text is up to some hundred times, and queues that are taken out in small pieces."""
     rnd = random.Random(5)
-    for _ in range(100):
+    for _ in range(150):
+        monkeypatch.setattr(induced, "PIECE", rnd.choice([1, 5, 1 << 20]))
         segments = [bytes(rnd.choice(rnd.choice([b"ab", b"abc", b"a", bytes(range(256))])) for _ in range(rnd.randint(0, 30))) for _ in range(rnd.randint(1, 6))]
         text, ends = b"", []
         for s in segments:
