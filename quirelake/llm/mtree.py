@@ -1,23 +1,27 @@
 """Exact top-k search by inner product with M-trees.
 
-The vectors are dealt into shards of about SHARD rows by a hash. Each shard is
+Vectors are dealt by the nearest of a few pivots, and the rows of a pivot by a
+hash into shards of about SHARD rows. Each shard is
 an M-tree: pages of entries, an inner page's entry having a routing object, a
 covering radius, the distance to the page's own routing object and a child
 page. A vector x is given one more component, sqrt(R - |x|^2) with R the
 shard's largest squared length; then Euclidean distances from a query (which
 has 0 there) fall as inner products grow, and the triangle inequality holds.
 
-Blocks of queries meet every shard. A block's search is best-first by the
-distance that a page's radius leaves at least. A page is entered only for
-queries which it can still serve, and for those a distance is computed only if
-the stored distance to the parent does not rule the entry out. Scores are exact
-integers; a bound cuts strictly, so ties are all seen.
+Queries first meet one shard of their nearest pivot. The k-th score found there
+is a bound that every other shard has to reach. Then blocks of queries meet
+every shard, many blocks for each copy of its tree. A block's search is
+best-first by the distance that a page's radius leaves at least. A page is
+entered only for queries which it can still serve, and for those a distance is
+computed only if the stored distance to the parent does not rule the entry out.
+Scores are exact integers; bounds cut strictly, so ties are all seen.
 
 Vectors that are null, empty, or hold null or non-finite components take no
 part. A shorter vector counts as filled up with zeros. Components beyond 2**24
 after scaling are an error. Rows that share a vec_id are candidates of each
 other; only the query's own row is left out. Null vec_ids are no queries, and
-as candidates lose ties to all others. An empty table gives no rows.
+as candidates lose ties to all others; no id is a mark for them. An empty table
+gives no rows. Columns other than vec_id and embedding are not read.
 """
 
 from __future__ import annotations
@@ -35,9 +39,10 @@ from pyspark.sql import functions as F
 from .common import table, written
 
 SHARD, BLOCK = 4_096, 512
+#: Pivots at most: one row each, the only vectors that go to every task. Blocks of queries that meet a copy of a tree.
+PIVOTS, BLOCKS = 256, 64
 PAGE, FAN = 48, 12
 LARGEST = 1 << 24
-NO_ID = np.iinfo(np.int64).max
 
 
 @dataclass
@@ -90,24 +95,25 @@ class MTree:
         self.pages.append(page)
         return len(self.pages) - 1
 
-    def search(self, queries: np.ndarray, own_row: np.ndarray, k: int, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray, dict]:
+    def search(self, queries: np.ndarray, own_row: np.ndarray, k: int, rank: np.ndarray, floor: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, dict]:
         """Best k rows for each query: scores and row numbers (-1: none), and counts of distances computed and avoided.
 
-        own_row: the row left out for each query (-1: none). rank: place of each row in a tie.
+        own_row: the row left out for each query (-1: none). rank: place of each row in a tie. floor: scores below it are not wanted.
         """
         n = len(queries)
+        floor = np.full(n, -np.inf) if floor is None else floor
         q = queries.astype(np.float64)
         square = (q**2).sum(axis=1)
         points = self.points.astype(np.float64)
         best = np.full((n, k), -np.inf)
         rows = np.full((n, k), -1, np.int64)
-        places = np.full((n, k), NO_ID, np.int64)
+        places = np.full((n, k), np.iinfo(np.int64).max)
         done = {"computed": 0, "avoided": 0}
         slack = 1e-9 * (1 + square + self.largest)
 
         def reach(bound: np.ndarray, sel: np.ndarray) -> np.ndarray:
             """Whether an object at least so far away can still be among the best."""
-            return (square[sel, None] + self.largest - np.maximum(bound, 0) ** 2) / 2 >= best[sel, -1:] - slack[sel, None]
+            return (square[sel, None] + self.largest - np.maximum(bound, 0) ** 2) / 2 >= np.maximum(best[sel, -1:], floor[sel, None]) - slack[sel, None]
 
         queue = [(0.0, 0, self.root, np.zeros(n), np.zeros(n), True)]
         number = 0
@@ -129,7 +135,7 @@ class MTree:
             done["computed"] += len(sel) * len(cols)
             score = q[sel] @ points[page.point[cols]].T
             if page.leaf:
-                hot = (score >= best[sel, -1:]).any(axis=1)
+                hot = (score >= np.maximum(best[sel, -1:], floor[sel, None])).any(axis=1)
                 if not hot.any():
                     continue
                 who = sel[hot]
@@ -151,7 +157,7 @@ class MTree:
                 child_away[sel[ok]], child_bound[sel[ok]] = far[ok, j], low[ok, j]
                 number += 1
                 heapq.heappush(queue, (float(low[ok, j].min()), number, page.child[c], child_away, child_bound, False))
-        rows[~np.isfinite(best)] = -1
+        rows[~np.isfinite(best) | (best < floor[:, None])] = -1
         return best, rows, done
 
 
@@ -178,10 +184,40 @@ def scaled(vectors: DataFrame) -> DataFrame:
     return some.select(F.monotonically_increasing_id().alias("row"), F.col("vec_id").alias("id"), F.transform("embedding", lambda x: F.floor(x.cast("double") * 64.0)).alias("vector"))
 
 
+def _wide(x: np.ndarray, size: int) -> np.ndarray:
+    return np.pad(x, ((0, 0), (0, size - x.shape[1]))) if x.shape[1] < size else x
+
+
+def near_pivots(vectors: DataFrame, pivots: np.ndarray, name: str) -> DataFrame:
+    """vectors (row, id, vector) with the number of the nearest pivot."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = _matrix(batch.column("vector").to_pylist())
+            size = max(x.shape[1], pivots.shape[1])
+            at, x = _wide(pivots, size).astype(np.float64), _wide(x, size).astype(np.float64)
+            near = ((at**2).sum(axis=1) - 2 * x @ at.T).argmin(axis=1).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(near)], [*batch.schema.names, name])
+
+    return vectors.mapInArrow(each, f"row bigint, id bigint, vector array<bigint>, {name} int")
+
+
 def top_k(candidates: DataFrame, queries: DataFrame, k: int, shard: int = SHARD, block: int = BLOCK) -> DataFrame:
     """query_id, rank, vec_id, score: the k best candidates (row, id, vector) of each query (same columns); rows with equal ``row`` are left out."""
     n, m = candidates.count(), queries.count()
-    shards, blocks = max(12, -(-n // shard)), max(1, -(-m // block))
+    some = candidates.orderBy(F.xxhash64("row")).limit(max(1, min(PIVOTS, n // shard))).collect()
+    pivots = _matrix([r.vector for r in some] or [[0]])
+    dealt = written(near_pivots(candidates, pivots, "pivot"), "dealt")
+    asked = written(near_pivots(queries, pivots, "pivot"), "asked")
+    # The rows of a pivot go to as many shards as they fill; PIVOTS counts at most come to the driver.
+    sizes = {r.pivot: -(-r["count"] // shard) for r in dealt.groupBy("pivot").count().collect()}
+    first, shards = {}, 0
+    for p in sorted(sizes):
+        first[p], shards = shards, shards + sizes[p]
+    blocks = max(1, -(-m // block))
+    number = F.create_map(*(F.lit(x) for p in sorted(sizes) for x in (p, first[p]))) if sizes else F.create_map(F.lit(0), F.lit(0))
+    parts = F.create_map(*(F.lit(x) for p in sorted(sizes) for x in (p, sizes[p]))) if sizes else F.create_map(F.lit(0), F.lit(1))
+    deal = lambda: (F.coalesce(number[F.col("pivot")], F.lit(0)) + F.pmod(F.xxhash64("row"), F.coalesce(parts[F.col("pivot")], F.lit(1)))).cast("int")
 
     def tree(key: tuple, rows: pa.Table) -> pa.Table:
         none, ids, own = _ids(rows)
@@ -193,31 +229,43 @@ def top_k(candidates: DataFrame, queries: DataFrame, k: int, shard: int = SHARD,
 
     def packed(key: tuple, rows: pa.Table) -> pa.Table:
         _, ids, own = _ids(rows)
-        return pa.table({"block": pa.array([key[0].as_py()], pa.int32()), "queries": pa.array([pickle.dumps((_matrix(rows.column("vector").to_pylist()), ids, own))], pa.binary())})
-
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for made, asked in zip(batch.column("tree"), batch.column("queries"), strict=True):
-                tree, none, ids, own, rank = pickle.loads(made.as_py())
-                q, query_id, query_row = pickle.loads(asked.as_py())
+        floor = rows.column("floor").to_numpy().astype(np.float64)
+        return pa.table({"block": pa.array([key[0].as_py()], pa.int32()), "queries": pa.array([pickle.dumps((_matrix(rows.column("vector").to_pylist()), ids, own, floor))], pa.binary())})
+
+    def search(trees: pa.Table, blocks: pa.Table) -> pa.Table:
+        out = [[pa.array([], t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64())]]
+        for made in trees.column("tree"):
+            tree, none, ids, own, rank = pickle.loads(made.as_py())
+            at = {r: i for i, r in enumerate(own.tolist())}
+            for block in blocks.column("queries"):
+                q, query_id, query_row, floor = pickle.loads(block.as_py())
                 size = max(tree.points.shape[1], q.shape[1])
-                if tree.points.shape[1] < size:
-                    tree.points = np.pad(tree.points, ((0, 0), (0, size - tree.points.shape[1])))
-                q = np.pad(q, ((0, 0), (0, size - q.shape[1])))
-                at = {r: i for i, r in enumerate(own.tolist())}
+                tree.points = _wide(tree.points, size)
                 left_out = np.array([at.get(r, -1) for r in query_row.tolist()], np.int64)
-                score, row, _ = tree.search(q, left_out, k, rank)
+                score, row, _ = tree.search(_wide(q, size), left_out, k, rank, floor)
                 who, place = np.nonzero(row >= 0)
                 hit = row[who, place]
-                yield pa.RecordBatch.from_arrays([pa.array(query_row[who]), pa.array(query_id[who]), pa.array(ids[hit], mask=none[hit]), pa.array(own[hit]), pa.array(score[who, place].astype(np.int64))], ["query_row", "query_id", "vec_id", "row", "score"])
-
-    deal = lambda df, n, name: df.withColumn(name, F.pmod(F.xxhash64("row"), F.lit(n)).cast("int"))
-    trees = written(deal(candidates, shards, "shard").groupBy("shard").applyInArrow(tree, "shard int, tree binary"), "trees")
-    asked = written(deal(queries, blocks, "block").groupBy("block").applyInArrow(packed, "block int, queries binary"), "blocks")
-    # A stated set of queries against all shards, block by block: each shard's tree is read by one task.
-    met = asked.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).repartition(shards, "shard")
-    found = met.join(trees.repartition(shards, "shard"), "shard").select("tree", "queries")
-    found = found.mapInArrow(search, "query_row bigint, query_id bigint, vec_id bigint, row bigint, score bigint")
+                out.append([pa.array(query_row[who]), pa.array(query_id[who]), pa.array(ids[hit], mask=none[hit]), pa.array(own[hit]), pa.array(score[who, place].astype(np.int64))])
+        return pa.table([pa.chunked_array(c) for c in zip(*out, strict=True)], ["query_row", "query_id", "vec_id", "row", "score"])
+
+    def met(places: DataFrame) -> DataFrame:
+        """What the trees find for the blocks (shard, part, queries), copied to as many parts as there are."""
+        copies = places.select(F.col("shard").alias("of"), F.col("part").alias("copy")).distinct()
+        copied = trees.join(copies, F.col("shard") == F.col("of")).select("of", "copy", "tree")
+        return copied.groupBy("of", "copy").cogroup(places.groupBy("shard", "part")).applyInArrow(search, "query_row bigint, query_id bigint, vec_id bigint, row bigint, score bigint")
+
+    trees = written(dealt.withColumn("shard", deal()).groupBy("shard").applyInArrow(tree, "shard int, tree binary"), "trees")
+    # A bound for each query: the k-th score in one shard of its nearest pivot.
+    home = asked.withColumn("floor", F.lit(float("-inf"))).withColumn("shard", deal()).withColumn("block", (F.col("shard") * 1_000 + F.pmod(F.xxhash64("row"), F.lit(max(1, min(1_000, blocks // max(1, shards)))))).cast("int"))
+    at_home = home.groupBy("block").applyInArrow(packed, "block int, queries binary").withColumn("shard", F.floor(F.col("block") / 1_000).cast("int")).withColumn("part", F.lit(0))
+    scores = met(at_home).groupBy("query_row").agg(F.count("*").alias("n"), F.min("score").alias("floor")).where(F.col("n") >= k)
+    floors = written(scores.select(F.col("query_row").alias("row"), F.col("floor").cast("double").alias("floor")), "floors")
+    # A stated set of queries against all shards, block by block.
+    bounded = asked.join(floors, "row", "left").withColumn("floor", F.coalesce("floor", F.lit(float("-inf"))))
+    bounded = bounded.withColumn("block", F.pmod(F.xxhash64("row"), F.lit(blocks)).cast("int"))
+    sent = written(bounded.groupBy("block").applyInArrow(packed, "block int, queries binary"), "blocks")
+    places = sent.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(max(0, shards - 1))))).withColumn("part", F.floor(F.col("block") / BLOCKS).cast("int"))
+    found = met(places)
     order = Window.partitionBy("query_row").orderBy(F.col("score").desc(), F.col("vec_id").asc_nulls_last(), "row")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
