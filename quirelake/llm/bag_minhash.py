@@ -30,8 +30,9 @@ the rows outside a bucket's largest component and the bucket.
 
 Null or empty texts, and texts of white space, have no shingle and are classes
 of their own. Rows with the same doc_id are one node, whichever texts they
-have. Null doc_ids are classes of their own, with a null class_id. An empty
-table gives no rows.
+have. Null doc_ids are classes of their own, with a null class_id. Texts of any
+length are hashed whole. Columns other than doc_id and text are not read. An
+empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -253,7 +254,7 @@ def alike(rows: DataFrame, least: int, similarity: float) -> DataFrame:
                 x, y = sets[i], sets[k]
                 both = len(np.intersect1d(x, y))
                 # Elements may have met in 32 bits, in either set: the more, the larger the sets.
-                lost = 8 + (max(len(x), len(y)) ** 2 >> 30)
+                lost = 3 + (max(len(x), len(y)) ** 2 >> 28)
                 if both + lost >= similarity * (len(x) + len(y) - both - lost):
                     a.append(min(ids[i], ids[k]))
                     b.append(max(ids[i], ids[k]))

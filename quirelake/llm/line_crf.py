@@ -12,8 +12,9 @@ log-likelihood. Only the text is an input of a score.
 
 A null or empty text is one empty line. Very long texts are worked through in
 blocks of lines of all documents of an Arrow batch together, never cut. Repeated
-rows score alike; null ids are carried through; an empty table gives no rows.
-With no labels every document scores one half.
+rows score alike; null ids are carried through, and are no training rows; other
+columns come through as they are; an empty table gives no rows. With no labels
+every document scores one half.
 """
 
 from __future__ import annotations

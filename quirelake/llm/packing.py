@@ -11,7 +11,8 @@ group has as few bins as its tokens allow.
 
 Nulls: a null text counts as empty (the end id alone); a null doc_id is a
 document of its own kind and is carried through. Repeated doc_ids are packed
-as documents of their own. An empty table gives no rows.
+as documents of their own. A very long text is many full pieces. Columns other
+than doc_id and text are not read. An empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -10,7 +10,8 @@ texts, are checked against the sentencepiece library; a difference is an error.
 
 A null text counts as empty: it has the end id alone and decodes to the empty
 text. Rows are independent of each other, so repeated rows, null ids and very
-long texts need no special care; an empty table gives no rows.
+long texts need no special care; columns other than doc_id and text are not
+read; an empty table gives no rows.
 """
 
 from __future__ import annotations

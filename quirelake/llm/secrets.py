@@ -9,8 +9,9 @@ mean log-likelihood ratio for each character is over a bound. One without any
 letter (a number, a rule of signs) is none.
 
 A null text counts as empty and has no span. Rows are independent, so repeated
-rows, null ids and very long texts need no special care; an empty table gives
-no rows, and a model trained on the generator alone.
+rows, null ids and very long texts need no special care; other columns come
+through as they are; an empty table gives no rows, and a model trained on the
+generator alone.
 """
 
 from __future__ import annotations

@@ -2,7 +2,7 @@
 
 File format. The output is a Parquet table with a row for each block; a block
 holds whole documents in ascending doc_id order and ends once it has BLOCK_IDS
-ids or more (a longer document is a block of its own). Columns:
+ids or more (a longer document ends its block). Columns:
 
 - shard, block: order of the blocks; shards are ranges of doc_id in order
 - doc_ids: the documents of the block; ends: for each, the ids in the block up to its end
@@ -14,8 +14,9 @@ ids or more (a longer document is a block of its own). Columns:
 unpacks at once.
 
 A null text counts as empty: it has the end id alone. Repeated doc_ids are
-documents of their own, side by side in no fixed order between equal ids and
-texts; a null doc_id comes first. An empty table makes an empty file.
+documents of their own, side by side in no fixed order, and may go over several
+shards; a null doc_id comes first. Columns other than doc_id and text are not
+read. An empty table makes an empty file.
 """
 
 from __future__ import annotations
@@ -97,7 +98,9 @@ def write_ids(docs: DataFrame, path: str, end_id: int | None, name: str = "token
         if ids:
             yield close()
 
-    ordered = docs.repartitionByRange(shuffle_partitions(docs.sparkSession), "doc_id").sortWithinPartitions("doc_id")
+    # A number for each row: an id that many rows have is cut into several ranges too.
+    dealt = docs.withColumn("row", F.monotonically_increasing_id())
+    ordered = dealt.repartitionByRange(shuffle_partitions(docs.sparkSession), "doc_id", "row").sortWithinPartitions("doc_id", "row").drop("row")
     return written(ordered.mapInArrow(blocks, SCHEMA), name)
 
 

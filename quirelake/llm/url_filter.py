@@ -15,7 +15,10 @@ pages (at most 256 of them) and by a shuffled join for the others.
 
 Null urls and urls without "://" have an empty host and path, which is a host
 like any other. Repeated page_ids are rows of their own. Labels repeated for a
-document count as bad if any is. An empty table gives no rows.
+document count as bad if any is. User names and ports are no part of the host
+that a reputation is of. Very long urls are strings like any other. Columns
+other than page_id, url, doc_id, quality and toxic are not read. An empty table
+gives no rows.
 """
 
 from __future__ import annotations
@@ -27,7 +30,7 @@ from .common import table, written
 
 #: verdict, host, start of the path.
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
-#: Suffixes of two labels under which domains are registered.
+#: Suffixes of two labels under which domains are registered; judge takes any other table of them.
 LONG_SUFFIXES = ("co.uk", "org.uk", "ac.uk", "com.au", "com.br", "co.jp", "co.in", "co.nz", "com.cn", "co.za")
 Z = 1.645
 LEAST = 0.5
@@ -52,14 +55,19 @@ def matched_rule(host: Column, path: Column, rules=RULES) -> tuple[Column, Colum
     return text, verdict
 
 
-def _suffix(host: Column) -> Column:
-    last = F.substring_index(host, ".", -1)
+def bare_host(host: Column) -> Column:
+    """The host without user name and port, for reputations only."""
+    return F.regexp_replace(F.regexp_replace(host, "^.*@", ""), ":[0-9]*$", "")
+
+
+def _suffix(host: Column, suffixes) -> Column:
     two = F.substring_index(host, ".", -2)
-    return F.when(two.isin(*LONG_SUFFIXES), two).otherwise(last)
+    return F.when(two.isin(*suffixes), two).otherwise(F.substring_index(host, ".", -1))
 
 
-def _domain(host: Column) -> Column:
-    return F.when(F.substring_index(host, ".", -2).isin(*LONG_SUFFIXES), F.substring_index(host, ".", -3)).otherwise(F.substring_index(host, ".", -2))
+def _domain(host: Column, suffixes) -> Column:
+    two = F.substring_index(host, ".", -2)
+    return F.when(two.isin(*suffixes), F.substring_index(host, ".", -3)).otherwise(two)
 
 
 def _weight(groups: DataFrame) -> DataFrame:
@@ -80,9 +88,10 @@ def _weight(groups: DataFrame) -> DataFrame:
     return s.select(((1 - rho) / rho).alias("weight"))
 
 
-def reputations(hosts: DataFrame, z: float = Z) -> DataFrame:
-    """host, mean, upper from hosts (host, n labelled pages, good ones)."""
-    h = hosts.select("host", F.col("n").cast("double").alias("n"), F.col("good").cast("double").alias("good"), _domain(F.col("host")).alias("domain"), _suffix(F.col("host")).alias("suffix"))
+def reputations(hosts: DataFrame, z: float = Z, suffixes=LONG_SUFFIXES) -> DataFrame:
+    """host, mean, upper from hosts (host, n labelled pages, good ones); suffixes: those of two labels."""
+    bare = bare_host(F.col("host"))
+    h = hosts.select("host", F.col("n").cast("double").alias("n"), F.col("good").cast("double").alias("good"), _domain(bare, suffixes).alias("domain"), _suffix(bare, suffixes).alias("suffix"))
     d = h.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("good").alias("good"))
     s = d.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("good").alias("good"))
     pn, pgood = (F.lit(x or 0.0) for x in s.agg(F.sum("n"), F.sum("good")).first())
@@ -100,14 +109,14 @@ def reputations(hosts: DataFrame, z: float = Z) -> DataFrame:
     return h.select("host", "mean", (F.col("mean") + z * F.sqrt(F.col("mean") * (1 - F.col("mean")) / (F.col("weight") + 1))).alias("upper"))
 
 
-def judge(pages: DataFrame, outcomes: DataFrame, rules=RULES, z: float = Z, least: float = LEAST) -> DataFrame:
+def judge(pages: DataFrame, outcomes: DataFrame, rules=RULES, z: float = Z, least: float = LEAST, suffixes=LONG_SUFFIXES) -> DataFrame:
     """page_id, host, path, rule, verdict, upper for pages (page_id, url); outcomes: page_id, good (boolean)."""
     host, path = split_url(F.col("url"))
     split = pages.select("page_id", host.alias("host"), path.alias("path"))
     labels = outcomes.groupBy("page_id").agg(F.min("good").alias("good"))
     counts = split.join(labels, "page_id", "left").groupBy("host").agg(F.count("*").alias("pages"), F.count("good").alias("n"), F.sum(F.coalesce(F.col("good").cast("int"), F.lit(0))).alias("good"))
     counts = written(counts, "hosts")
-    judged = written(reputations(counts, z).join(counts.select("host", "pages"), "host"), "reputations")
+    judged = written(reputations(counts, z, suffixes).join(counts.select("host", "pages"), "host"), "reputations")
     total = judged.agg(F.sum("pages")).first()[0] or 0
     hot = F.broadcast(judged.where(F.col("pages") * 256 > total).select(F.col("host").alias("hot_host"), F.col("upper").alias("hot_upper")))
     cold = judged.where(F.col("pages") * 256 <= total).select(F.col("host").alias("key"), F.col("upper").alias("cold_upper"))
@@ -138,8 +147,9 @@ ORACLE = rf"""
 WITH u AS (SELECT page_id, translate(regexp_extract(coalesce(url, ''), '^.*?://([^/?#]*)([^?#]*)', 1, 's'), '{UPPER}', '{LOWER}') AS host, regexp_extract(coalesce(url, ''), '^.*?://([^/?#]*)([^?#]*)', 2, 's') AS path FROM pages),
 marked AS (SELECT doc_id, min(CASE WHEN coalesce(quality, 1) = 1 AND coalesce(toxic, 0) = 0 THEN 1 ELSE 0 END) AS good FROM labels WHERE coalesce(quality, toxic) IS NOT NULL GROUP BY 1),
 o AS (SELECT u.*, good FROM u LEFT JOIN marked ON try_cast(regexp_extract(path, '^/[a-z]+/([0-9]+)', 1) AS BIGINT) = doc_id),
-hosts AS (SELECT host, cast(count(good) AS DOUBLE) AS n, cast(coalesce(sum(good), 0) AS DOUBLE) AS good, string_split(host, '.') AS p FROM o GROUP BY host),
-h AS (SELECT host, n, good, CASE WHEN len(p) > 1 THEN p[-2] || '.' || p[-1] ELSE host END AS domain, p[-1] AS suffix FROM hosts),
+hosts AS (SELECT host, cast(count(good) AS DOUBLE) AS n, cast(coalesce(sum(good), 0) AS DOUBLE) AS good, string_split(regexp_replace(regexp_replace(host, '^.*@', ''), ':[0-9]*$', ''), '.') AS p FROM o GROUP BY host),
+two AS (SELECT *, CASE WHEN len(p) > 1 THEN p[-2] || '.' || p[-1] ELSE p[-1] END AS t FROM hosts),
+h AS (SELECT host, n, good, CASE WHEN t IN {LONG_SUFFIXES} AND len(p) > 2 THEN p[-3] || '.' || t ELSE t END AS domain, CASE WHEN t IN {LONG_SUFFIXES} THEN t ELSE p[-1] END AS suffix FROM two),
 d AS (SELECT domain, suffix, sum(n) AS n, sum(good) AS good FROM h GROUP BY ALL),
 s AS (SELECT suffix, sum(n) AS n, sum(good) AS good FROM d GROUP BY ALL),
 a AS (SELECT sum(n) AS n, sum(good) AS good FROM s),

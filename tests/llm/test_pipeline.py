@@ -46,3 +46,41 @@ def test_stages(spark):
 def test_run(spark):
     assert corpus_pipeline.run(spark, D).count() > 0
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality", "exact", "near", "secrets", "packing"]
+
+def test_odd_rows(spark, tmp_path):
+    """Nulls, empty and long texts, ties, repeated rows, an empty table, and columns called as the stages call theirs."""
+    good = {r.doc_id: r.text for r in spark.read.parquet(f"{D}/documents.parquet").collect()}
+    labels = spark.read.parquet(f"{D}/labels.parquet")
+    fine = [t for i, t in sorted(good.items()) if len(t) > 1_500][:6]
+    schema = "doc_id long, text string, lang string, own_raw long, gone_id string, quality_score string, raw map<string,int>, kept int, n_chars long"
+    rows = [(1, fine[0], "en"), (2, fine[0].replace(" ", "  "), "fr"), (3, fine[1] + " one word more", "en"), (4, fine[1], "en"), (5, fine[2] + "\npassword=hunter22x", None), (6, "", "en"), (7, None, "en"), (None, fine[3], "en"), (None, None, None), (8, " ".join(fine * 40), "en"), (9, fine[4], "en"), (9, fine[4], "en"), (2**60 + 1, fine[5], "en")]
+    docs = spark.createDataFrame([(i, t, lang, 7, "g", "q", {"a": 1}, 3, len(t or "")) for i, t, lang in rows], schema).repartition(3)
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    before, kept = docs, {}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        for given in (before, before.where("false")):
+            out = written(stage(spark, given, str(tmp_path)), "test")
+            assert out.columns == docs.columns and out.dtypes == docs.dtypes
+        assert out.count() == 0
+        before = written(stage(spark, before, str(tmp_path)), "test")
+        kept[name] = before.collect()
+    assert len(kept["quality"]) <= len(rows)
+    assert all(r.own_raw == 7 and r.gone_id == "g" and r.quality_score == "q" and r.raw == {"a": 1} for r in kept["secrets"])
+    # Scores decide alone in quality; the other stages do as they say with what it kept.
+    ids = lambda name: sorted(str(r.doc_id) for r in kept[name])
+    if {"1", "2"} <= set(ids("quality")):
+        assert "1" not in ids("exact") and "2" in ids("exact")
+    if {"3", "4"} <= set(ids("exact")):
+        assert "4" not in ids("near") and "3" in ids("near")
+    assert ids("near").count("9") <= 1 and ids("secrets") == ids("near")
+    assert all("hunter22x" not in (r.text or "") and (r.text is None or r.n_chars == len(r.text)) for r in kept["secrets"])
+    packed = corpus_pipeline.STAGES[-1][1](spark, before, str(tmp_path)).collect()
+    e = encoder(vocabulary("byte_bpe_50k.json"))
+    lengths = defaultdict(int)
+    for r in packed:
+        lengths[r.doc_id] += r.length
+    want = defaultdict(int)
+    for r in kept["secrets"]:
+        want[r.doc_id] += len(e.encode(r.text or "")) // 4 + 1
+    assert lengths == want and corpus_pipeline.STAGES[-1][1](spark, before.where("false"), str(tmp_path)).collect() == []
+    assert str(2**60 + 1) in ids("quality")
