@@ -8,79 +8,79 @@ from dataclasses import dataclass, field
 from .lexer import DELIMITERS, SPACE, Keyword, Lexer
 from .objects import Name, PdfError, Stream
 
-#: Operators: category, operand count (-1: any), meaning. Fixed by the file format.
-OPERATORS: dict[str, tuple[str, int, str]] = {
-    "q": ("graphics_state", 0, "save graphics state"),
-    "Q": ("graphics_state", 0, "restore graphics state"),
-    "cm": ("graphics_state", 6, "concatenate matrix"),
-    "w": ("graphics_state", 1, "line width"),
-    "J": ("graphics_state", 1, "line cap"),
-    "j": ("graphics_state", 1, "line join"),
-    "M": ("graphics_state", 1, "miter limit"),
-    "d": ("graphics_state", 2, "dash pattern"),
-    "ri": ("graphics_state", 1, "rendering intent"),
-    "i": ("graphics_state", 1, "flatness"),
-    "gs": ("graphics_state", 1, "extended graphics state"),
-    "m": ("path_construction", 2, "move to"),
-    "l": ("path_construction", 2, "line to"),
-    "c": ("path_construction", 6, "curve to"),
-    "v": ("path_construction", 4, "curve to, first point replicated"),
-    "y": ("path_construction", 4, "curve to, last point replicated"),
-    "h": ("path_construction", 0, "close subpath"),
-    "re": ("path_construction", 4, "rectangle"),
-    "S": ("path_painting", 0, "stroke"),
-    "s": ("path_painting", 0, "close and stroke"),
-    "f": ("path_painting", 0, "fill"),
-    "F": ("path_painting", 0, "fill, old form"),
-    "f*": ("path_painting", 0, "fill, even-odd"),
-    "B": ("path_painting", 0, "fill and stroke"),
-    "B*": ("path_painting", 0, "fill and stroke, even-odd"),
-    "b": ("path_painting", 0, "close, fill and stroke"),
-    "b*": ("path_painting", 0, "close, fill and stroke, even-odd"),
-    "n": ("path_painting", 0, "end path"),
-    "W": ("clipping_path", 0, "clip"),
-    "W*": ("clipping_path", 0, "clip, even-odd"),
-    "BT": ("text_object", 0, "begin text"),
-    "ET": ("text_object", 0, "end text"),
-    "Tc": ("text_state", 1, "character spacing"),
-    "Tw": ("text_state", 1, "word spacing"),
-    "Tz": ("text_state", 1, "horizontal scaling"),
-    "TL": ("text_state", 1, "leading"),
-    "Tf": ("text_state", 2, "font and size"),
-    "Tr": ("text_state", 1, "rendering mode"),
-    "Ts": ("text_state", 1, "rise"),
-    "Td": ("text_positioning", 2, "move"),
-    "TD": ("text_positioning", 2, "move and set leading"),
-    "Tm": ("text_positioning", 6, "text matrix"),
-    "T*": ("text_positioning", 0, "next line"),
-    "Tj": ("text_showing", 1, "show text"),
-    "TJ": ("text_showing", 1, "show text with adjustments"),
-    "'": ("text_showing", 1, "next line and show text"),
-    '"': ("text_showing", 3, "spacings, next line and show text"),
-    "CS": ("color", 1, "stroking color space"),
-    "cs": ("color", 1, "filling color space"),
-    "SC": ("color", -1, "stroking color"),
-    "SCN": ("color", -1, "stroking color or pattern"),
-    "sc": ("color", -1, "filling color"),
-    "scn": ("color", -1, "filling color or pattern"),
-    "G": ("color", 1, "stroking gray"),
-    "g": ("color", 1, "filling gray"),
-    "RG": ("color", 3, "stroking RGB"),
-    "rg": ("color", 3, "filling RGB"),
-    "K": ("color", 4, "stroking CMYK"),
-    "k": ("color", 4, "filling CMYK"),
-    "sh": ("shading", 1, "paint shading"),
-    "Do": ("external_object", 1, "external object"),
-    "BI": ("inline_image", 0, "begin inline image"),
-    "ID": ("inline_image", 0, "inline image data"),
-    "EI": ("inline_image", 0, "end inline image"),
-    "MP": ("marked_content", 1, "marked point"),
-    "DP": ("marked_content", 2, "marked point with properties"),
-    "BMC": ("marked_content", 1, "begin marked content"),
-    "BDC": ("marked_content", 2, "begin marked content with properties"),
-    "EMC": ("marked_content", 0, "end marked content"),
-    "BX": ("compatibility", 0, "begin compatibility section"),
-    "EX": ("compatibility", 0, "end compatibility section"),
+#: Operators with their category and operand count (-1: any). Operators and counts are fixed by the file format.
+OPERATORS: dict[str, tuple[str, int]] = {
+    "q": ("graphics_state", 0),
+    "Q": ("graphics_state", 0),
+    "cm": ("graphics_state", 6),
+    "w": ("graphics_state", 1),
+    "J": ("graphics_state", 1),
+    "j": ("graphics_state", 1),
+    "M": ("graphics_state", 1),
+    "d": ("graphics_state", 2),
+    "ri": ("graphics_state", 1),
+    "i": ("graphics_state", 1),
+    "gs": ("graphics_state", 1),
+    "m": ("path_construction", 2),
+    "l": ("path_construction", 2),
+    "c": ("path_construction", 6),
+    "v": ("path_construction", 4),
+    "y": ("path_construction", 4),
+    "h": ("path_construction", 0),
+    "re": ("path_construction", 4),
+    "S": ("path_painting", 0),
+    "s": ("path_painting", 0),
+    "f": ("path_painting", 0),
+    "F": ("path_painting", 0),
+    "f*": ("path_painting", 0),
+    "B": ("path_painting", 0),
+    "B*": ("path_painting", 0),
+    "b": ("path_painting", 0),
+    "b*": ("path_painting", 0),
+    "n": ("path_painting", 0),
+    "W": ("clipping_path", 0),
+    "W*": ("clipping_path", 0),
+    "BT": ("text_object", 0),
+    "ET": ("text_object", 0),
+    "Tc": ("text_state", 1),
+    "Tw": ("text_state", 1),
+    "Tz": ("text_state", 1),
+    "TL": ("text_state", 1),
+    "Tf": ("text_state", 2),
+    "Tr": ("text_state", 1),
+    "Ts": ("text_state", 1),
+    "Td": ("text_positioning", 2),
+    "TD": ("text_positioning", 2),
+    "Tm": ("text_positioning", 6),
+    "T*": ("text_positioning", 0),
+    "Tj": ("text_showing", 1),
+    "TJ": ("text_showing", 1),
+    "'": ("text_showing", 1),
+    '"': ("text_showing", 3),
+    "CS": ("color", 1),
+    "cs": ("color", 1),
+    "SC": ("color", -1),
+    "SCN": ("color", -1),
+    "sc": ("color", -1),
+    "scn": ("color", -1),
+    "G": ("color", 1),
+    "g": ("color", 1),
+    "RG": ("color", 3),
+    "rg": ("color", 3),
+    "K": ("color", 4),
+    "k": ("color", 4),
+    "sh": ("shading", 1),
+    "Do": ("external_object", 1),
+    "BI": ("inline_image", 0),
+    "ID": ("inline_image", 0),
+    "EI": ("inline_image", 0),
+    "MP": ("marked_content", 1),
+    "DP": ("marked_content", 2),
+    "BMC": ("marked_content", 1),
+    "BDC": ("marked_content", 2),
+    "EMC": ("marked_content", 0),
+    "BX": ("compatibility", 0),
+    "EX": ("compatibility", 0),
 }
 
 #: Abbreviations in inline images: keys, and names as values. Fixed by the file format.

@@ -15,6 +15,7 @@ from quirelake.operators.tables import shared_folder, written
 from quirelake.plans.documents import ROUND_TRIP, _read_back, _texts, request
 from quirelake.plans.relational import read
 from quirelake.sources import datasource, edits, endpoint, generated, pdf
+from quirelake.streaming import files as streaming
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
@@ -365,12 +366,7 @@ def pdf_functions(spark, d):
 @query(ROUND_TRIP)
 def pdf_folder(spark, d):
     """Files written to a folder by the sink, and read from there."""
-    import uuid
-
-    datasource.register(spark)
-    folder = f"{shared_folder(spark).rstrip('/')}/files-{uuid.uuid4().hex}"
-    files = generated.documents_as_files(read(spark, d, "documents"), "flate")
-    files.select(F.concat(F.col("doc_id").cast("string"), F.lit(".pdf")).alias("name"), "content").write.format("pdf").mode("append").save(folder)
+    folder = _in_folder(spark, generated.documents_as_files(read(spark, d, "documents"), "flate"))
     found = pdf.read_files(spark, folder).withColumn("doc_id", F.regexp_extract("path", r"(\d+)\.pdf$", 1).cast("long"))
     return _read_back(found)
 
@@ -408,7 +404,7 @@ def pdf_edit_instructions(spark, d):
     return e.groupBy("doc_id", "page_index").agg(F.array_join(F.transform(item, lambda x: x["text"]), "\n").alias("texts"))
 
 
-@query(f"""{EDITED} SELECT doc_id, page_index, name, width, height, x, y, hex FROM t, (VALUES ('Im1', 2, 1, 10.0, 20.0, '0A0A0AFAFAFA'), ('Im2', 1, 1, 0.0, 0.0, '010203')) v(name, width, height, x, y, hex) WHERE page_index = 0""")
+@query(f"""{EDITED} SELECT doc_id, page_index, name, width, height, x::DOUBLE AS x, y::DOUBLE AS y, hex FROM t, (VALUES ('Im1', 2, 1, 10.0, 20.0, '0A0A0AFAFAFA'), ('Im2', 1, 1, 0.0, 0.0, '010203')) v(name, width, height, x, y, hex) WHERE page_index = 0""")
 def pdf_edit_images(spark, d):
     """Images added, replaced and deleted, with texts modified beside them."""
     turns = read(spark, d, "conversations").withColumn("text", F.replace("text", F.lit("\n"), F.lit(" ")))
@@ -434,3 +430,147 @@ def font_predicates(spark, d):
         F.round(F.get(geometry.mean_color(a, b), F.lit(0)), 4).alias("mean0"), F.round(geometry.width(box), 4).alias("width"), codecs.math_encoding(pick(26, "ABCDEF+CMR10", "cmex10")).alias("maths"), codecs.identity_map(pick(20, "Identity-V", "UniGB-UCS2-H")).alias("is_identity"),
         codecs.predefined_map(pick(30, "90ms-RKSJ-H", "Own-H")).alias("is_predefined"), codecs.cjk_font(pick(40, "MS-Mincho", "Helvetica")).alias("is_cjk"), codecs.has_private_use(pick(10, "a", "a")).alias("is_private"),
     )
+
+
+def _fax_rows(doc_id, embedding):
+    """The signs of the vector's values as rows of runs (K 0), or of runs behind end-of-line codes (K 4)."""
+    from quirelake.kernel.fax import END_OF_LINE, run_codes
+    from quirelake.kernel.objects import Name, Stream
+    from quirelake.kernel.writer import Builder
+
+    codes = [{n: format(v, f"0{w}b") for (w, v), n in run_codes(black).items()} for black in (False, True)]
+    rows, mixed = [[v < 0 for v in embedding[i : i + 8]] for i in range(0, len(embedding), 8)], int(doc_id) % 2
+    text = ""
+    for row in rows:
+        text += (END_OF_LINE + "1") * mixed
+        at = black = 0
+        while at < 8:
+            n = next((i for i in range(at, 8) if row[i] != black), 8) - at
+            text += codes[black][n]
+            at, black = at + n, 1 - black
+    text += "0" * (-len(text) % 8)
+    b = Builder()
+    image = {"Type": Name("XObject"), "Subtype": Name("Image"), "Width": 8, "Height": len(rows), "BitsPerComponent": 1, "ColorSpace": Name("DeviceGray"), "Filter": Name("CCITTFaxDecode"), "DecodeParms": {"K": 4 * mixed, "Columns": 8, "Rows": len(rows), "EndOfLine": bool(mixed), "EndOfBlock": False}}
+    b.page(b"/Im1 Do", resources={"XObject": {"Im1": b.add(Stream(image, int(text, 2).to_bytes(len(text) // 8, "big")))}})
+    return b.build()
+
+
+@query(ORACLE_SQL["pdf_fax"])
+def pdf_fax_rows(spark, d):
+    """The same pictures in one dimension, with and without end-of-line codes."""
+    files = generated.made(read(spark, d, "embeddings").withColumnRenamed("vec_id", "doc_id"), _fax_rows, "embedding")
+    return pdf.relation(files, "images", pixels=True).select("doc_id", "width", "height", F.md5(F.hex("pixels")).alias("pixels_md5"))
+
+
+@query("SELECT conv_id AS doc_id, page_index, md5(replace(text, chr(10), ' ')) AS text_md5 FROM (SELECT *, (row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) - 1)::INT AS page_index FROM conversations) WHERE page_index IN (0, 2) AND replace(text, chr(10), '') <> ''")
+def pdf_some_pages(spark, d):
+    """Pages by their index: the kernel decodes no others."""
+    turns = read(spark, d, "conversations").withColumn("text", F.replace("text", F.lit("\n"), F.lit(" ")))
+    e = _texts(generated.turns_as_files(turns), pages={0, 2})
+    return e.groupBy("doc_id", "page_index").agg(F.md5(F.first("text")).alias("text_md5"))
+
+
+@query("SELECT doc_id, v.op, v.n::BIGINT AS n FROM (SELECT doc_id, len(list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: x <> '')) AS shown, len(string_split(coalesce(text, ''), chr(10))) - 1 AS moves FROM documents), LATERAL (VALUES ('BT', 1), ('Tf', 1), ('TL', 1), ('Td', 1), ('ET', 1), ('Tj', shown), ('T*', moves)) v(op, n) WHERE v.n > 0")
+def pdf_instruction_udtf(spark, d):
+    endpoint.register(spark)
+    files = generated.documents_as_files(read(spark, d, "documents"))
+    rows = spark.sql("SELECT f.doc_id, t.op FROM {files} f, LATERAL pdf_instructions(f.content) t", files=files)
+    return rows.groupBy("doc_id", "op").agg(F.count("*").alias("n"))
+
+
+def _in_folder(spark, files: DataFrame) -> str:
+    """The folder that files (doc_id, content) were written to, each named by its doc_id."""
+    import uuid
+
+    datasource.register(spark)
+    folder = f"{shared_folder(spark).rstrip('/')}/files-{uuid.uuid4().hex}"
+    files.select(F.concat(F.col("doc_id").cast("string"), F.lit(".pdf")).alias("name"), "content").write.format("pdf").mode("append").save(folder)
+    return folder
+
+
+@query(ROUND_TRIP.replace("FROM documents", "FROM (SELECT conv_id AS doc_id, string_agg(text, chr(10) ORDER BY turn, role, text) AS text FROM conversations GROUP BY 1)"))
+def stream_texts(spark, d):
+    """Files that come into a folder, read as a stream and gathered by file."""
+    folder = _in_folder(spark, generated.turns_as_files(read(spark, d, "conversations")))
+    rows = streaming.stream_relation(streaming.stream_files(spark, folder, 10_000).withColumn("doc_id", F.regexp_extract("path", r"(\d+)\.pdf$", 1).cast("long")), "text_elements")
+    q = rows.select("doc_id", "page_index", "elem_idx", "text").writeStream.format("parquet").option("path", f"{folder}-texts").option("checkpointLocation", f"{folder}-state").trigger(availableNow=True).start()
+    q.awaitTermination()
+    e = spark.read.parquet(f"{folder}-texts")
+    item = F.array_sort(F.collect_list(F.struct("page_index", "elem_idx", "text")))
+    return e.groupBy("doc_id").agg(F.count("*").alias("n_lines"), F.md5(F.array_join(F.transform(item, lambda x: x["text"]), "\n")).alias("text_md5"))
+
+
+@query("SELECT count(*) AS pages, count(DISTINCT conv_id) AS files FROM conversations")
+def pdf_data_source(spark, d):
+    """format("pdf") over a folder."""
+    folder = _in_folder(spark, generated.turns_as_files(read(spark, d, "conversations")))
+    pages = spark.read.format("pdf").option("relation", "pdf_pages").load(folder.removeprefix("file://").removeprefix("file:"))
+    return pages.agg(F.count("*").alias("pages"), F.countDistinct("doc_id").alias("files"))
+
+
+@query("""WITH t AS (SELECT conv_id AS doc_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) - 1 AS p, replace(text, chr(10), ' ') AS text FROM conversations)
+SELECT doc_id, sum(CASE p WHEN 0 THEN (len(text) - len(replace(lower(text), 'an', ''))) // 2 WHEN 1 THEN CASE WHEN contains(text, 'the') THEN 1 ELSE 0 END ELSE 0 END)::INT + 3 AS changes FROM t GROUP BY 1""")
+def pdf_edit_counts(spark, d):
+    """How much edits changed: matches of any case, strings deleted, shapes drawn."""
+    turns = read(spark, d, "conversations").withColumn("text", F.replace("text", F.lit("\n"), F.lit(" ")))
+    shape = {"page_index": 0, "numbers": [1.0, 2.0, 3.0, 4.0]}
+    wanted = _edit_rows(turns, {"page_index": 0, "kind": "replace", "search": "an", "replacement": "-", "ignore_case": True}, {"page_index": 1, "kind": "delete", "search": "the"}, *(shape | {"kind": k} for k in ("rectangle", "line", "ellipse")), {"page_index": 999, "kind": "optimize"})
+    return edits.apply_edits(generated.turns_as_files(turns), wanted).select("doc_id", "changes")
+
+
+def _modified(doc_id, text):
+    return generated.one_page(int(doc_id), "one\ntwo\none")
+
+
+@query("SELECT doc_id, 'new,two,one' AS texts FROM documents")
+def pdf_edit_modify(spark, d):
+    """The first string with this text in this font."""
+    docs = read(spark, d, "documents")
+    files = generated.made(docs, _modified, "text")
+    wanted = docs.select(F.lit(1).cast("long").alias("edit_id"), "doc_id", F.lit(0).alias("page_index"), F.lit("modify").alias("kind"), F.lit("one").alias("search"), F.lit("new").alias("replacement"), F.lit("F1").alias("font_name"))
+    e = _texts(edits.apply_edits(files, wanted))
+    return e.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("elem_idx", "text"))), lambda x: x["text"]), ",").alias("texts"))
+
+
+def _numeric_functions(doc_id, items):
+    """Sampled, exponential and stitched functions of a file at each item's discount and tax."""
+    from quirelake.kernel.calculator import evaluate
+    from quirelake.kernel.document import parse
+    from quirelake.kernel.objects import Stream
+    from quirelake.kernel.writer import Builder
+
+    b = Builder()
+    b.page(b"")
+    grid = b.add(Stream({"FunctionType": 0, "Domain": [0, 1, 0, 1], "Range": [0, 255], "Size": [2, 2], "BitsPerSample": 8}, bytes([0, 100, 200, 255])))
+    power = b.add({"FunctionType": 2, "Domain": [0, 1], "C0": [0.1], "C1": [0.9], "N": 2})
+    line = b.add({"FunctionType": 2, "Domain": [0, 1], "C0": [0], "C1": [1], "N": 1})
+    both = b.add({"FunctionType": 3, "Domain": [0, 1], "Functions": [power, line], "Bounds": [0.05], "Encode": [0, 1, 1, 0]})
+    doc = parse(b.build())
+    rows = [[evaluate(doc, grid, [10 * float(i["l_discount"]), 10 * float(i["l_tax"])])[0], evaluate(doc, power, [float(i["l_discount"])])[0], evaluate(doc, both, [float(i["l_discount"])])[0]] for i in items]
+    return json.dumps([[round(v, 6) for v in row] for row in rows]).encode()
+
+
+@query(f"""SELECT doc_id, k::INT AS k, round(100 * x * (1 - y) + 200 * (1 - x) * y + 255 * x * y, 6) AS sampled, round(0.1 + 0.8 * d * d, 6) AS exponential, round(CASE WHEN d < 0.05 THEN 0.1 + 0.8 * pow(d / 0.05, 2) ELSE 1 - (d - 0.05) / 0.95 END, 6) AS stitched FROM (SELECT *, least(1, d * 10) AS x, least(1, t * 10) AS y FROM {LINE_ROWS})""")
+def pdf_numeric_functions(spark, d):
+    made = _of_lines(spark, d, _numeric_functions)
+    each = made.select("doc_id", F.posexplode(F.from_json(F.col("content").cast("string"), "array<array<double>>")).alias("k", "v"))
+    return each.select("doc_id", "k", *(F.get("v", F.lit(i)).alias(n) for i, n in enumerate(("sampled", "exponential", "stitched"))))
+
+
+def _encoded(doc_id, text):
+    """The text in a font of one of three encodings, by doc_id; what an encoding has not is a question mark."""
+    from quirelake.kernel.content import Instruction, serialize
+    from quirelake.kernel.objects import Name, Str
+    from quirelake.kernel.writer import Builder
+
+    b, n = Builder(), int(doc_id) % 2
+    font = b.add({"Type": Name("Font"), "Subtype": Name("TrueType"), "BaseFont": Name("Own"), "Encoding": Name(("WinAnsiEncoding", "MacRomanEncoding")[n])})
+    lines = [x for x in (text or "").split("\n") if x]
+    shown = [Instruction("Tj", [Str(x.encode(("cp1252", "mac_roman")[n], "replace"))]) for x in lines]
+    b.page(serialize([Instruction("BT"), Instruction("Tf", [Name("F1"), 10]), *shown, Instruction("ET")]), ["FlateDecode"], resources={"Font": {"F1": font}})
+    return b.build()
+
+
+@query(ROUND_TRIP)
+def pdf_encodings(spark, d):
+    return _read_back(generated.made(read(spark, d, "documents"), _encoded, "text"))

@@ -231,8 +231,8 @@ def start_offset(content) -> Column:
 
 
 def operator_dim(spark: SparkSession) -> DataFrame:
-    """op, category, operand_count (null: any), description of all operators: 71 rows."""
+    """op, category, operand_count (null: any) of all operators: 71 rows."""
     from quirelake.kernel.content import OPERATORS
 
-    rows = [(op, category, n if n >= 0 else None, what) for op, (category, n, what) in OPERATORS.items()]
-    return spark.createDataFrame(rows, "op string, category string, operand_count int, description string")
+    rows = [(op, category, n if n >= 0 else None) for op, (category, n) in OPERATORS.items()]
+    return spark.createDataFrame(rows, "op string, category string, operand_count int")
