@@ -6,7 +6,8 @@ after it are features too. Forward and backward passes give each line's
 marginal of being good; their mean, weighted by line length, is the document's
 quality, which a logistic function of one variable brings to a probability.
 
-The field is trained on a bounded sample of labelled documents, whose lines all
+The field is trained on a bounded sample of labelled documents (SAMPLE_DOCS of
+them, none of over SAMPLE_BYTES), whose lines all
 carry their document's label, by gradient ascent on the penalised conditional
 log-likelihood. Only the text is an input of a score.
 
@@ -29,8 +30,8 @@ from pyspark.sql import functions as F
 
 from .common import fresh, narrow, table
 
-#: Labelled documents that the field is trained on, at most.
-SAMPLE_DOCS = 3_000
+#: Labelled documents that the field is trained on, at most, and bytes of each, at most: 300 MB in the worst case.
+SAMPLE_DOCS, SAMPLE_BYTES = 3_000, 100_000
 STEPS, RATE, PENALTY = 300, 0.05, 1e-3
 SPACE, LOWER, UPPER, DIGIT, STOP, COMMA, BANG, MARKUP, OTHER, HIGH = range(10)
 
@@ -249,11 +250,11 @@ def held_out(doc_id):
 
 
 def sample(docs: DataFrame, labels: DataFrame, n: int = SAMPLE_DOCS) -> tuple[list[str], list[int]]:
-    """At most n labelled rows that aren't held out, by a hash of doc_id; a document with labels of both kinds counts as bad."""
+    """At most n labelled rows that aren't held out, by a hash of doc_id, but none of over SAMPLE_BYTES; a document with labels of both kinds counts as bad."""
     marked = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.min("quality").alias("quality"))
     # n rows at most: a proven bound for the broadcast.
     few = marked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
-    texts = narrow(docs).join(F.broadcast(few), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.min("quality").alias("quality"))
+    texts = narrow(docs).where(F.octet_length("text") <= SAMPLE_BYTES).join(F.broadcast(few), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.min("quality").alias("quality"))
     rows = texts.orderBy("doc_id").limit(n).collect()
     return [r.text for r in rows], [int(r.quality > 0) for r in rows]
 

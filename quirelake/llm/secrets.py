@@ -1,9 +1,10 @@
 """Secret scan: fixed patterns, and spans that character Markov models call random.
 
-Two first-order character models are trained: one of random strings (values
-that the patterns find in a bounded sample, and strings drawn from a seeded
-generator over the usual alphabets) and one of ordinary identifiers (all other
-long tokens of the sample, and joined words of it). A token of LEAST characters
+Two first-order character models are trained from labelled samples: one of
+random strings (values that the patterns find in a bounded sample; strings from
+a seeded generator over the usual alphabets are its prior, and weigh as PRIOR
+strings do together) and one of ordinary identifiers (all other long tokens of
+the sample, and joined words of it). A token of LEAST characters
 or more, or as long a part of one outside the pattern spans, is a secret if the
 mean log-likelihood ratio for each character is over a bound. One without any
 letter (a number, a rule of signs) is none.
@@ -41,8 +42,10 @@ TOKEN = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{%d,}" % LEAST)
 LETTER = re.compile("[A-Za-z]")
 ALPHABET = string.ascii_letters + string.digits + "+/_=-"
 INDEX = {c: i + 1 for i, c in enumerate(ALPHABET)}
-#: Documents that the ordinary model is trained on, at most.
-SAMPLE_DOCS = 2_000
+#: Documents that the models are trained on, at most, and bytes of each, at most: 200 MB in the worst case.
+SAMPLE_DOCS, SAMPLE_BYTES = 2_000, 100_000
+#: Labelled strings that the generator's strings count for.
+PRIOR = 50.0
 #: Mean log-likelihood ratio for each character over which a token is a secret.
 BOUND = 0.8
 
@@ -85,12 +88,17 @@ class Markov:
         return out
 
 
-def _counts(tokens: list[str], smooth: float) -> np.ndarray:
-    n = len(ALPHABET) + 1
-    seen = np.full((n, n), smooth)
+def _counts(tokens: list[str], weight: float = 1.0) -> np.ndarray:
+    """How often each pair of characters occurs."""
+    seen = np.zeros((len(INDEX) + 1, len(INDEX) + 1))
     for t in tokens:
         at = [0, *(INDEX[c] for c in t)]
-        np.add.at(seen, (at[:-1], at[1:]), 1.0)
+        np.add.at(seen, (at[:-1], at[1:]), weight)
+    return seen
+
+
+def _log_rates(seen: np.ndarray, smooth: float) -> np.ndarray:
+    seen = seen + smooth
     seen[:, 0] = 0
     return np.log(np.maximum(seen, 1e-12) / seen.sum(axis=1, keepdims=True))
 
@@ -117,15 +125,17 @@ def labelled(texts: list[str]) -> tuple[list[str], list[str]]:
 
 def train(texts: list[str]) -> Markov:
     secret, plain = labelled(texts)
-    return Markov(_counts(secret + drawn(4_000), 0.5) - _counts(plain, 0.5))
+    prior = drawn(4_000)
+    random_pairs = _counts(sorted(set(secret))) + _counts(prior, PRIOR / len(prior))
+    return Markov(_log_rates(random_pairs, 0.05) - _log_rates(_counts(plain), 0.5))
 
 
 def sample_texts(docs: DataFrame, n: int = SAMPLE_DOCS) -> list[str]:
-    """A text of each of at most n documents, chosen by a hash of doc_id: the same rows whatever the partitions."""
+    """A text of each of at most n documents, chosen by a hash of doc_id: the same rows whatever the partitions. Texts of over SAMPLE_BYTES are not among them."""
     docs = narrow(docs).where("doc_id IS NOT NULL")
     # Ids alone are sorted and sent around; n rows at most are broadcast.
     few = docs.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
-    rows = docs.join(F.broadcast(few), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text")).orderBy("doc_id").collect()
+    rows = docs.where(F.octet_length("text") <= SAMPLE_BYTES).join(F.broadcast(few), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text")).orderBy("doc_id").collect()
     return [r.text for r in rows]
 
 
