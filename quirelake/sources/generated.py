@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,12 +20,12 @@ def made(rows: DataFrame, build: Callable[..., bytes], *columns: str) -> DataFra
     ship(spark)
     tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
-    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            values = zip(*(batch[c] for c in ("doc_id", *columns)), strict=True)
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "content": [build(*v) for v in values]})
+            values = zip(*(batch.column(c).to_pylist() for c in ("doc_id", *columns)), strict=True)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([build(*v) for v in values], pa.binary())], ["doc_id", "content"])
 
-    return rows.select("doc_id", *columns).repartition(tasks, "doc_id").mapInPandas(each, "doc_id bigint, content binary")
+    return rows.select(F.col("doc_id").cast("long").alias("doc_id"), *columns).repartition(tasks, "doc_id").mapInArrow(each, "doc_id bigint, content binary")
 
 
 def gathered(rows: DataFrame, key: str, order: list[str], *columns: str) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Relations of page-description files. Bytes cross into Python once, in mapInPandas; everything else is columns.
+"""Relations of page-description files. Bytes cross into Python once, in mapInArrow; everything else is columns.
 
 files (doc_id, content) -> one relation each: documents_meta, xref, objects,
 pdf_pages, instructions, fonts, text_elements, text_blocks, graphics_elements,
@@ -16,9 +16,10 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from quirelake.sources.shipping import ship
 
@@ -37,16 +38,6 @@ SCHEMAS = {
 }
 
 
-def _columns(schema: str) -> list[str]:
-    names, depth, start = [], 0, 0
-    for i, c in enumerate(schema + ","):
-        depth += (c in "<(") - (c in ">)")
-        if c == "," and not depth:
-            names.append(schema[start:i].split()[0])
-            start = i + 1
-    return names
-
-
 def _json(x) -> str:
     from quirelake.kernel.objects import plain
 
@@ -177,25 +168,30 @@ def rows_of(relation: str, doc_id, data: bytes, password: str = "", options: dic
 
 def relation(files: DataFrame, name: str, password: str = "", **options) -> DataFrame:
     """A relation of files (doc_id, content). A column password in files overrides the argument."""
-    ship(files.sparkSession)
+    spark = files.sparkSession
+    ship(spark)
     schema = SCHEMAS[name]
-    columns = _columns(schema)
+    kinds = to_arrow_schema(spark.createDataFrame([], schema).schema)
     own = "password" in files.columns
 
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), kinds, strict=True)], schema=kinds)
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
         for batch in batches:
-            words = batch["password"] if own else [password] * len(batch)
-            for doc_id, data, word in zip(batch["doc_id"], batch["content"], words, strict=True):
-                for row in rows_of(name, doc_id, data, word or "", options):
+            words = batch.column("password").to_pylist() if own else [password] * batch.num_rows
+            # One file's bytes at a time: a batch may hold many.
+            for doc_id, data, word in zip(batch.column("doc_id").to_pylist(), batch.column("content"), words, strict=True):
+                for row in rows_of(name, doc_id, data.as_py(), word or "", options):
                     rows.append(row)
                     if len(rows) >= ROWS:
-                        yield pd.DataFrame(rows, columns=columns, dtype=object)
+                        yield batch_of(rows)
                         rows = []
         if rows:
-            yield pd.DataFrame(rows, columns=columns, dtype=object)
+            yield batch_of(rows)
 
-    return files.select("doc_id", "content", *(["password"] if own else [])).mapInPandas(read, schema)
+    return files.select("doc_id", "content", *(["password"] if own else [])).mapInArrow(read, schema)
 
 
 def typed(df: DataFrame) -> DataFrame:
