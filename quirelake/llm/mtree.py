@@ -230,7 +230,7 @@ def top_k(candidates: DataFrame, queries: DataFrame, k: int, shard: int = SHARD,
     def packed(key: tuple, rows: pa.Table) -> pa.Table:
         _, ids, own = _ids(rows)
         floor = rows.column("floor").to_numpy().astype(np.float64)
-        return pa.table({"block": pa.array([key[0].as_py()], pa.int32()), "queries": pa.array([pickle.dumps((_matrix(rows.column("vector").to_pylist()), ids, own, floor))], pa.binary())})
+        return pa.table({"block": pa.array([key[0].as_py()], pa.int64()), "queries": pa.array([pickle.dumps((_matrix(rows.column("vector").to_pylist()), ids, own, floor))], pa.binary())})
 
     def search(trees: pa.Table, blocks: pa.Table) -> pa.Table:
         out = [[pa.array([], t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64())]]
@@ -256,14 +256,14 @@ def top_k(candidates: DataFrame, queries: DataFrame, k: int, shard: int = SHARD,
 
     trees = written(dealt.withColumn("shard", deal()).groupBy("shard").applyInArrow(tree, "shard int, tree binary"), "trees")
     # A bound for each query: the k-th score in one shard of its nearest pivot.
-    home = asked.withColumn("floor", F.lit(float("-inf"))).withColumn("shard", deal()).withColumn("block", (F.col("shard") * 1_000 + F.pmod(F.xxhash64("row"), F.lit(max(1, min(1_000, blocks // max(1, shards)))))).cast("int"))
-    at_home = home.groupBy("block").applyInArrow(packed, "block int, queries binary").withColumn("shard", F.floor(F.col("block") / 1_000).cast("int")).withColumn("part", F.lit(0))
+    home = asked.withColumn("floor", F.lit(float("-inf"))).withColumn("shard", deal()).withColumn("block", F.col("shard").cast("long") * 1_000 + F.pmod(F.xxhash64("row"), F.lit(max(1, min(1_000, blocks // max(1, shards))))))
+    at_home = home.groupBy("block").applyInArrow(packed, "block bigint, queries binary").withColumn("shard", F.floor(F.col("block") / 1_000).cast("int")).withColumn("part", F.lit(0))
     scores = met(at_home).groupBy("query_row").agg(F.count("*").alias("n"), F.min("score").alias("floor")).where(F.col("n") >= k)
     floors = written(scores.select(F.col("query_row").alias("row"), F.col("floor").cast("double").alias("floor")), "floors")
     # A stated set of queries against all shards, block by block.
     bounded = asked.join(floors, "row", "left").withColumn("floor", F.coalesce("floor", F.lit(float("-inf"))))
-    bounded = bounded.withColumn("block", F.pmod(F.xxhash64("row"), F.lit(blocks)).cast("int"))
-    sent = written(bounded.groupBy("block").applyInArrow(packed, "block int, queries binary"), "blocks")
+    bounded = bounded.withColumn("block", F.pmod(F.xxhash64("row"), F.lit(blocks)))
+    sent = written(bounded.groupBy("block").applyInArrow(packed, "block bigint, queries binary"), "blocks")
     places = sent.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(max(0, shards - 1))))).withColumn("part", F.floor(F.col("block") / BLOCKS).cast("int"))
     found = met(places)
     order = Window.partitionBy("query_row").orderBy(F.col("score").desc(), F.col("vec_id").asc_nulls_last(), "row")
