@@ -52,7 +52,7 @@ BANDS, ROWS = 25, 5
 #: Standard deviations below the expected agreement of sketches at which a pair is passed over (one in three million).
 FAR = 5.0
 #: Rows of a bucket, and bytes of their multisets, in a block.
-BLOCK, BLOCK_BYTES = 2_048, 32 << 20
+BLOCK, BLOCK_BYTES = 512, 32 << 20
 #: Pairs of one pivot in a task, about.
 SALT = 4_096
 #: Ids are broadcast up to this many (16 bytes each); beyond it the join shuffles.
@@ -245,19 +245,30 @@ def alike(rows: DataFrame, least: int, similarity: float) -> DataFrame:
         sketch = np.frombuffer(b"".join(r[3] for r in held), np.uint8).reshape(len(held), -1)
         keys = np.array([r[4] for r in held], np.int64)[:, :band]
         sets = [np.frombuffer(r[5], "<u4") for r in held]
-        a, b = [], []
+        size = np.array([len(x) for x in sets])
+        first = np.cumsum(size) - size
+        place, mark, a, b = None, None, [], []
         for i in np.flatnonzero(side != RIGHT):
             j = np.flatnonzero((comps != comps[i]) & ((side == RIGHT) if side[i] == LEFT else (ids > ids[i])))
             j = j[(sketch[j] == sketch[i]).sum(axis=1) >= least]
             j = j[~(keys[j] == keys[i]).any(axis=1)]
-            for k in j:
-                x, y = sets[i], sets[k]
-                both = len(np.intersect1d(x, y))
-                # Elements may have met in 32 bits, in either set: the more, the larger the sets.
-                lost = 3 + (max(len(x), len(y)) ** 2 >> 28)
-                if both + lost >= similarity * (len(x) + len(y) - both - lost):
-                    a.append(min(ids[i], ids[k]))
-                    b.append(max(ids[i], ids[k]))
+            if not len(j):
+                continue
+            if place is None:  # elements of all sets, one after another, as numbers from 0 on
+                distinct, place = np.unique(np.concatenate(sets), return_inverse=True)
+                mark = np.zeros(len(distinct), bool)
+            own = place[first[i] : first[i] + size[i]]
+            mark[own] = True
+            if len(j) * 8 > len(held):
+                both = np.add.reduceat(mark[place], first, dtype=np.int64)[j]
+            else:
+                both = np.array([np.count_nonzero(mark[place[first[k] : first[k] + size[k]]]) for k in j])
+            mark[own] = False
+            # Elements may have met in 32 bits, in either set: the more, the larger the sets.
+            lost = 3 + (np.maximum(size[i], size[j]) ** 2 >> 28)
+            j = j[both + lost >= similarity * (size[i] + size[j] - both - lost)]
+            a += np.minimum(ids[i], ids[j]).tolist()
+            b += np.maximum(ids[i], ids[j]).tolist()
         return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -278,7 +289,7 @@ def alike(rows: DataFrame, least: int, similarity: float) -> DataFrame:
 def meetings(apart: DataFrame) -> DataFrame:
     """bucket, band, id, component, meeting, side: which rows (bucket, band, id, size, component) of buckets with several components have to meet where."""
     parts = apart.groupBy("bucket", "component").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"))
-    parts = parts.groupBy("bucket").agg(F.max_by(F.struct("component", "n", "bytes"), F.struct("n", -F.col("component"))).alias("most"), F.sum("n").alias("n"), F.sum("bytes").alias("bytes"), F.count("*").alias("components"))
+    parts = parts.groupBy("bucket").agg(F.max_by(F.struct("component", "n", "bytes"), F.struct("n", F.bitwise_not("component"))).alias("most"), F.sum("n").alias("n"), F.sum("bytes").alias("bytes"), F.count("*").alias("components"))
     blocks = lambda n, size: F.ceil(F.greatest(n / BLOCK, size / BLOCK_BYTES)).cast("int")
     cut = parts.where("components > 1").select(
         "bucket", F.col("most.component").alias("largest"), (blocks(F.col("n"), F.col("bytes")) == 1).alias("whole"),
@@ -304,7 +315,7 @@ def links(members: DataFrame, about: DataFrame, docs: DataFrame, similarity: flo
     sizes = written(members.groupBy("bucket").agg(F.count("*").alias("n"), F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("bucket", "n"), "buckets")
     left = written(members.join(sizes, "bucket"), "members")
     company = left.groupBy("id").agg(F.sum("n").alias("company"))
-    pivots = written(left.join(company, "id").groupBy("bucket").agg(F.max_by("id", F.struct("company", -F.col("id"))).alias("pivot")), "pivots")
+    pivots = written(left.join(company, "id").groupBy("bucket").agg(F.max_by("id", F.struct("company", F.bitwise_not("id"))).alias("pivot")), "pivots")
     elements = written(bags(docs, left.select("id").distinct()), "bags")
     to_pivot = left.join(pivots, "bucket").where("id <> pivot").select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct()
     tested = written(verified(written(to_pivot, "pairs"), elements), "links")
