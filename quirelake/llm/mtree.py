@@ -41,6 +41,8 @@ from .common import table, written
 SHARD, BLOCK = 4_096, 512
 #: Pivots at most: one row each, the only vectors that go to every task. Blocks of queries that meet a copy of a tree.
 PIVOTS, BLOCKS = 256, 64
+#: Shards at least, so that a small table is not the work of a few tasks.
+LEAST_SHARDS = 12
 PAGE, FAN = 48, 12
 LARGEST = 1 << 24
 
@@ -205,6 +207,7 @@ def near_pivots(vectors: DataFrame, pivots: np.ndarray, name: str) -> DataFrame:
 def top_k(candidates: DataFrame, queries: DataFrame, k: int, shard: int = SHARD, block: int = BLOCK) -> DataFrame:
     """query_id, rank, vec_id, score: the k best candidates (row, id, vector) of each query (same columns); rows with equal ``row`` are left out."""
     n, m = candidates.count(), queries.count()
+    shard = max(1, min(shard, -(-n // LEAST_SHARDS)))
     some = candidates.orderBy(F.xxhash64("row")).limit(max(1, min(PIVOTS, n // shard))).collect()
     pivots = _matrix([r.vector for r in some] or [[0]])
     dealt = written(near_pivots(candidates, pivots, "pivot"), "dealt")
