@@ -574,3 +574,48 @@ def _encoded(doc_id, text):
 @query(ROUND_TRIP)
 def pdf_encodings(spark, d):
     return _read_back(generated.made(read(spark, d, "documents"), _encoded, "text"))
+
+
+@query("SELECT doc_id, n_lines, text_md5, 10.0::DOUBLE AS font_size FROM (" + ROUND_TRIP + ")")
+def pdf_operands(spark, d):
+    """Typed operands of filtered instructions: strings shown, and the size that is set."""
+    i = pdf.relation(generated.documents_as_files(read(spark, d, "documents")), "instructions").where(F.col("op").isin("Tj", "Tf"))
+    shown = F.when(F.col("op") == "Tj", F.get("operands", F.lit(0))["str"])
+    size = F.when(F.col("op") == "Tf", F.get("operands", F.lit(1))["num"])
+    rows = i.select("doc_id", "page_index", "instr_idx", shown.alias("text"), size.alias("size"))
+    item = F.array_sort(F.collect_list(F.when(F.col("text").isNotNull(), F.struct("page_index", "instr_idx", "text"))))
+    out = rows.groupBy("doc_id").agg(F.count("text").alias("n_lines"), F.md5(F.array_join(F.transform(item, lambda x: x["text"]), "\n")).alias("text_md5"), F.max("size").alias("font_size"))
+    return out.where("n_lines > 0")
+
+
+@query("SELECT doc_id, 1 AS obj, 'dictionary' AS kind, 'Catalog' AS type, 'Info' AS what, 'Document ' || doc_id AS title FROM documents")
+def pdf_object_lookup(spark, d):
+    """An object by its number, and one by what it holds."""
+    o = pdf.relation(generated.documents_as_files(read(spark, d, "documents")), "objects", raw=False)
+    title = F.get_json_object("value_json", "$.Title")
+    info = o.where(title.isNotNull()).select("doc_id", F.lit("Info").alias("what"), title.alias("title"))
+    return o.where("obj = 1").select("doc_id", "obj", "kind", "type").join(info, "doc_id")
+
+
+def _bilevel(doc_id, embedding):
+    """The signs of the vector's values as a JBIG2 page with one generic region in modified modified READ code."""
+    from quirelake.kernel.fax import encode_g4
+    from quirelake.kernel.objects import Name, Stream
+    from quirelake.kernel.writer import Builder
+
+    rows = [[v < 0 for v in embedding[i : i + 8]] for i in range(0, len(embedding), 8)]
+    four = lambda *n: b"".join(int(x).to_bytes(4, "big") for x in n)
+    segment = lambda number, kind, data: four(number) + bytes([kind, 0, 1]) + four(len(data)) + data
+    page = segment(0, 48, four(8, len(rows), 0, 0) + bytes(3))
+    region = segment(1, 38, four(8, len(rows), 0, 0) + bytes([0, 1]) + encode_g4(rows, 8))
+    b = Builder()
+    image = {"Type": Name("XObject"), "Subtype": Name("Image"), "Width": 8, "Height": len(rows), "BitsPerComponent": 1, "ColorSpace": Name("DeviceGray"), "Filter": Name("JBIG2Decode")}
+    b.page(b"/Im1 Do", resources={"XObject": {"Im1": b.add(Stream(image, page + region))}})
+    return b.build()
+
+
+@query(ORACLE_SQL["pdf_fax"])
+def pdf_bilevel(spark, d):
+    """Pages of generic regions."""
+    files = generated.made(read(spark, d, "embeddings").withColumnRenamed("vec_id", "doc_id"), _bilevel, "embedding")
+    return pdf.relation(files, "images", pixels=True).select("doc_id", "width", "height", F.md5(F.hex("pixels")).alias("pixels_md5"))
