@@ -289,13 +289,13 @@ def pdf_graphics(spark, d):
 
 
 def _image(doc_id, embedding):
-    """An 8 x 8 gray, or 4 x 5 RGB, or 4 x 4 CMYK image of the vector's bytes, drawn at a place that doc_id gives."""
+    """An 8 x 8 gray or 2 x 11 RGB image of all of the vector's bytes (filled up with zeros), drawn at a place that doc_id gives."""
     from quirelake.kernel.objects import Name, Stream
     from quirelake.kernel.writer import Builder, ContentBuilder
 
     b, kind, n = Builder(), int(doc_id) % 2, int(doc_id)
     raw = bytes(min(255, int(abs(v) * 255)) for v in embedding)
-    space, w, h = (("DeviceGray", 8, 8), ("DeviceRGB", 4, 5))[kind]
+    space, w, h = (("DeviceGray", 8, 8), ("DeviceRGB", 2, 11))[kind]
     size = w * h * (1, 3)[kind]
     im = b.add(Stream({"Type": Name("XObject"), "Subtype": Name("Image"), "Width": w, "Height": h, "BitsPerComponent": 8, "ColorSpace": Name(space)}, raw[:size].ljust(size, b"\0")))
     c = ContentBuilder().save().concat(w * 2, 0, 0, h * 2, n % 100, n % 50).draw("Im1").restore()
@@ -304,8 +304,8 @@ def _image(doc_id, embedding):
 
 
 @query("""WITH b AS (SELECT vec_id, list_transform(embedding, lambda v: least(255, trunc(abs(v::DOUBLE) * 255)::INT)) AS v FROM embeddings)
-SELECT vec_id AS doc_id, CASE WHEN vec_id % 2 = 0 THEN 8 ELSE 4 END AS width, CASE WHEN vec_id % 2 = 0 THEN 8 ELSE 5 END AS height, (vec_id % 100)::DOUBLE AS x, (vec_id % 50)::DOUBLE AS y,
- md5(array_to_string(list_transform(CASE WHEN vec_id % 2 = 0 THEN flatten(list_transform(v, lambda x: [x, x, x])) ELSE v[1:60] END, lambda x: printf('%02X', x)), '')) AS pixels_md5 FROM b""")
+SELECT vec_id AS doc_id, CASE WHEN vec_id % 2 = 0 THEN 8 ELSE 2 END AS width, CASE WHEN vec_id % 2 = 0 THEN 8 ELSE 11 END AS height, (vec_id % 100)::DOUBLE AS x, (vec_id % 50)::DOUBLE AS y,
+ md5(array_to_string(list_transform(CASE WHEN vec_id % 2 = 0 THEN flatten(list_transform(v, lambda x: [x, x, x])) ELSE list_concat(v, [0, 0]) END, lambda x: printf('%02X', x)), '')) AS pixels_md5 FROM b""")
 def pdf_images(spark, d):
     files = generated.made(read(spark, d, "embeddings").withColumnRenamed("vec_id", "doc_id"), _image, "embedding")
     i = pdf.relation(files, "images", pixels=True)
