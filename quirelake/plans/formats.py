@@ -619,3 +619,18 @@ def pdf_bilevel(spark, d):
     """Pages of generic regions."""
     files = generated.made(read(spark, d, "embeddings").withColumnRenamed("vec_id", "doc_id"), _bilevel, "embedding")
     return pdf.relation(files, "images", pixels=True).select("doc_id", "width", "height", F.md5(F.hex("pixels")).alias("pixels_md5"))
+
+
+def _many_streams(doc_id, items):
+    from quirelake.kernel.writer import Builder
+
+    b = Builder()
+    b.page([f"{int(i['l_linenumber'])} {float(i['l_quantity']):g} m".encode() for i in items], ["FlateDecode"])
+    return b.build(packed=bool(int(doc_id) % 2))
+
+
+@query(f"SELECT doc_id, 0 AS page_index, k::INT AS stream_idx, n || ' ' || q::INT || ' m' AS content FROM {LINE_ROWS}")
+def pdf_page_streams(spark, d):
+    """A page's content streams in order."""
+    s = pdf.relation(_of_lines(spark, d, _many_streams), "page_streams")
+    return s.select("doc_id", "page_index", "stream_idx", F.col("content").cast("string").alias("content"))

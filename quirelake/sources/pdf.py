@@ -1,7 +1,7 @@
 """Relations of page-description files. Bytes cross into Python once, in mapInArrow; everything else is columns.
 
 files (doc_id, content) -> one relation each: documents_meta, xref, objects,
-pdf_pages, instructions, fonts, text_elements, text_blocks, graphics_elements,
+pdf_pages, page_streams, instructions, fonts, text_elements, text_blocks, graphics_elements,
 images. A file that can't be read gives an error row in documents_meta and no
 row elsewhere; it never fails a task.
 
@@ -29,6 +29,7 @@ SCHEMAS = {
     "xref": "doc_id bigint, revision int, obj int, gen int, kind string, byte_offset bigint, next_free int, objstm int, idx int",
     "objects": "doc_id bigint, obj int, gen int, kind string, type string, subtype string, value_json string, raw binary",
     "pdf_pages": f"doc_id bigint, page_index int, obj int, gen int, media_box {BOX}, crop_box {BOX}, rotation int, resources_json string",
+    "page_streams": "doc_id bigint, page_index int, stream_idx int, obj int, gen int, content binary",
     "instructions": "doc_id bigint, page_index int, stream_idx int, instr_idx int, op string, category string, operands array<struct<kind: string, num: double, str: string, bytes: binary, json: string>>",
     "fonts": "doc_id bigint, page_index int, res_name string, subtype string, base_font string, encoding string, ordering string, embedded string, code_map map<int, string>, widths map<int, int>, default_width int",
     "text_elements": "doc_id bigint, page_index int, elem_idx int, text string, x float, y float, width float, height float, font_name string, font_size float, render_mode int, char_spacing float, word_spacing float, matrix array<float>, raw_bytes binary",
@@ -80,6 +81,18 @@ def _pages(doc_id, doc, options):
         yield (doc_id, p.index, p.ref.num if p.ref else None, p.ref.gen if p.ref else None, _box(doc.box(p)), _box(doc.box(p, "CropBox")), doc.rotation(p), _json(doc.resources(p)))
 
 
+def _streams(doc_id, doc, options):
+    """The content streams of each page in order, decoded."""
+    from quirelake.kernel.objects import Ref, Stream
+
+    for p in _chosen(doc, options):
+        named = p.dict.get("Contents")
+        own = doc.get(named)
+        for k, ref in enumerate(own if isinstance(own, list) else [named]):
+            if isinstance(x := doc.get(ref), Stream):
+                yield (doc_id, p.index, k, *((ref.num, ref.gen) if isinstance(ref, Ref) else (None, None)), doc.content(x))
+
+
 def operand(x) -> dict:
     from quirelake.kernel.objects import kind_of, number, show_text
 
@@ -146,7 +159,7 @@ def _images(doc_id, doc, options):
             yield (doc_id, p.index, im.name, im.width, im.height, im.bits, im.space, place, raw, error)
 
 
-READERS = {"documents_meta": _meta, "xref": _xref, "objects": _objects, "pdf_pages": _pages, "instructions": _instructions, "fonts": _fonts, "text_elements": _text, "text_blocks": _blocks, "graphics_elements": _graphics, "images": _images}
+READERS = {"documents_meta": _meta, "xref": _xref, "objects": _objects, "pdf_pages": _pages, "page_streams": _streams, "instructions": _instructions, "fonts": _fonts, "text_elements": _text, "text_blocks": _blocks, "graphics_elements": _graphics, "images": _images}
 #: Rows of one data frame handed back to Spark, at most.
 ROWS = 5_000
 
