@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quirelake.plans import documents, formats, relational
+from quirelake.plans import documents, formats, relational, structures
 
-QUERIES: dict = {**relational.QUERIES, **documents.QUERIES, **formats.QUERIES}
-ORACLE_SQL: dict = {**relational.ORACLE_SQL, **documents.ORACLE_SQL, **formats.ORACLE_SQL}
+QUERIES: dict = {**relational.QUERIES, **documents.QUERIES, **formats.QUERIES, **structures.QUERIES}
+ORACLE_SQL: dict = {**relational.ORACLE_SQL, **documents.ORACLE_SQL, **formats.ORACLE_SQL, **structures.ORACLE_SQL}

@@ -214,9 +214,7 @@ def insert_at_index(spark, d):
 
 @query("SELECT event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS idx FROM events")
 def row_index(spark, d):
-    from pyspark.sql import Window
-
-    return read(spark, d, "events").select("event_id", (F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")) - 1).cast("long").alias("idx"))
+    return state.indexed(read(spark, d, "events"), ["user_id"], ["ts", "event_id"], "idx").select("event_id", "idx")
 
 
 # Geometry and numbers ---------------------------------------------------------------------------

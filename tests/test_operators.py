@@ -19,7 +19,7 @@ def test_trees(spark):
     assert values == {i: "root" if i < 5 else "mid" for i in range(12)} | {50: "root"}
     assert graph.expanded(nodes.where("false"), "parent IS NULL").collect() == []
     with pytest.raises(ValueError, match="cycle"):
-        graph.expanded(nodes, "id = 70", most=5)
+        graph.expanded(nodes, "id = 70")
 
 
 def test_literals_and_names(spark):
