@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bag_minhash, exact_dedup, line_crf, mtree, packing, pieces, secrets, suffix_dedup, token_files, url_filter
+from . import bag_minhash, chat, exact_dedup, filter_audit, line_crf, mtree, packing, pieces, secrets, suffix_dedup, token_files, url_filter, whitening
 
 QUERIES = {
     "op1_sentencepiece": pieces.op1_sentencepiece,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_url_reputation": url_filter.op8_url_reputation,
     "op9_secret_scan": secrets.op9_secret_scan,
     "op10_best_fit_packing": packing.op10_best_fit_packing,
+    "op11_whitening": whitening.op11_whitening,
+    "op12_filter_audit": filter_audit.op12_filter_audit,
+    "op13_chat_format": chat.op13_chat_format,
 }
 
 ORACLE_SQL = {
@@ -23,4 +26,6 @@ ORACLE_SQL = {
     "op6_suffix_dedup": suffix_dedup.ORACLE,
     "op7_near_dedup": bag_minhash.ORACLE,
     "op8_url_reputation": url_filter.ORACLE,
+    "op12_filter_audit": filter_audit.ORACLE,
+    "op13_chat_format": chat.ORACLE,
 }

@@ -35,7 +35,7 @@ def folder(spark, tmp_path_factory):
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
 def test_against_sql(spark, name):
     duck = duckdb.connect()
-    for t in ("documents", "embeddings", "pages", "labels"):
+    for t in ("documents", "embeddings", "pages", "labels", "conversations"):
         duck.sql(f"CREATE VIEW {t} AS SELECT * FROM '{D}/{t}.parquet'")
     want, df = duck.sql(queries.ORACLE_SQL[name]), queries.QUERIES[name](spark, D)
     columns = sorted(df.columns)
