@@ -38,6 +38,21 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def bounded_rows(rows: DataFrame, most: int) -> list:
+    """The rows (doc_id, text, ...; a few thousand) in the order of doc_id, without those beyond the first most bytes of text in the order of a hash of doc_id."""
+    rows = written(rows, "sample")
+    sizes = sorted((r.h, r.doc_id, r.n) for r in rows.select(F.xxhash64("doc_id").alias("h"), "doc_id", F.octet_length("text").alias("n")).collect())
+    fits, held = [], 0
+    for _, doc_id, n in sizes:
+        held += n
+        if held > most:
+            break
+        fits.append(doc_id)
+    if len(fits) < len(sizes):
+        rows = rows.where(F.col("doc_id").isin(fits))
+    return rows.orderBy("doc_id").collect()
+
+
 def vocabulary(name: str) -> str:
     import public_tokenizers
 
