@@ -20,13 +20,14 @@ def hot_keys(df: DataFrame, on: list[str], share: int = SHARE, few: int = FEW) -
     return df.sparkSession.createDataFrame(rows, df.select(*on).schema) if rows else None
 
 
-def spread_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner", share: int = SHARE, copies: int = COPIES, few: int = FEW) -> DataFrame:
+def spread_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner", share: int = SHARE, copies: int = COPIES, few: int = FEW, hot: DataFrame | None = None) -> DataFrame:
     """left joined with right on columns of both (inner, left or left_anti; null keys meet nothing).
 
     Rows of left with a hot key are dealt over copies tasks, and the rows of right with that key are copied to each;
-    right is taken to have few rows for each key.
+    right is taken to have few rows for each key. hot: the hot keys (columns on; no more than share of them), where they
+    are known; otherwise they are counted.
     """
-    hot = hot_keys(left, on, share, few)
+    hot = hot_keys(left, on, share, few) if hot is None else hot.select(*on)
     if hot is None:
         return left.join(right, on, how)
     hot = F.broadcast(hot.withColumn("_hot", F.lit(True)))  # at most share rows

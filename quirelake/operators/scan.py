@@ -124,12 +124,16 @@ def row_number(df: DataFrame, keys: list[str], order: list[str], name: str, fair
     return s.done(s.completed(rows, F.count("*"), lambda c, w: F.sum(c).over(w), name, lambda a, b: F.coalesce(a, F.lit(0)) + b), name)
 
 
-def last_known(df: DataFrame, keys: list[str], order: list[str], value: Column, name: str, fair: int | None = None) -> DataFrame:
-    """The last value that isn't null, up to each row."""
+def last_known(df: DataFrame, keys: list[str], order: list[str], value: Column | dict[str, Column], name: str = "", fair: int | None = None) -> DataFrame:
+    """The last value that isn't null, up to each row; of several values by name in one go, if value is a dict."""
+    values = value if isinstance(value, dict) else {name: value}
     s = Scan(df, keys, order, fair)
-    rows = s.df.withColumn("_own", value).withColumn(name, F.last("_own", ignorenulls=True).over(s.running))
-    latest = F.max_by("_own", F.when(F.col("_own").isNotNull(), F.struct(*s.order)))
-    return s.done(s.completed(rows, latest, lambda c, w: F.last(c, ignorenulls=True).over(w), name, lambda a, b: F.coalesce(b, a)), name)
+    rows = s.df.select("*", *(c.alias(f"_own_{n}") for n, c in values.items()))
+    rows = rows.withColumns({n: F.last(f"_own_{n}", ignorenulls=True).over(s.running) for n in values})
+    for n in values:
+        latest = F.max_by(f"_own_{n}", F.when(F.col(f"_own_{n}").isNotNull(), F.struct(*s.order)))
+        rows = s.completed(rows, latest, lambda c, w: F.last(c, ignorenulls=True).over(w), n, lambda a, b: F.coalesce(b, a))
+    return s.done(rows, *values)
 
 
 def previous(df: DataFrame, keys: list[str], order: list[str], value: Column, name: str, fair: int | None = None) -> DataFrame:
