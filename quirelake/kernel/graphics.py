@@ -178,6 +178,11 @@ def pixels(doc, image: Image) -> bytes:
     space = doc.get(x.dict.get("ColorSpace"))
     palette = None
     name = space_name(doc, space)
+    under = space_name(doc, space[1]) if name == "Indexed" and isinstance(space, list) and len(space) > 1 else name
+    ranges = doc.get(x.dict.get("Decode"))
+    usual = [0, (1 << image.bits) - 1] if name == "Indexed" else [0, 1] * (len(ranges) // 2 if isinstance(ranges, list) else 0)
+    if under in ("Separation", "DeviceN", "Lab", "Pattern") or isinstance(ranges, list) and [number(doc.get(v), -1) for v in ranges] != usual:
+        raise PdfError("pixels", f"samples of {under}, or samples with ranges of their own, are not understood")
     if name == "Indexed" and isinstance(space, list) and len(space) >= 4:
         base = space_name(doc, space[1])
         lookup = doc.get(space[3])

@@ -374,11 +374,15 @@ def _hostile(doc_id, text):
     return (data[: len(data) // 2], data[:-60], data[15:], b"\0" * 100)[n]
 
 
-@query("SELECT doc_id, CASE WHEN doc_id % 4 IN (0, 1) THEN 'read' ELSE 'header' END AS outcome FROM documents")
+@query("""SELECT doc_id, CASE WHEN doc_id % 4 IN (0, 1) THEN 'read' ELSE 'header' END AS outcome, CASE WHEN doc_id % 4 = 1 THEN coalesce(md5(array_to_string(list_filter(string_split(text, chr(10)), lambda x: x <> ''), chr(10))), md5('')) END AS text_md5 FROM documents""")
 def pdf_hostile(spark, d):
-    """Files cut short or without an end are repaired; those without a start are errors."""
-    m = pdf.relation(generated.made(read(spark, d, "documents"), _hostile, "text"), "documents_meta")
-    return m.select("doc_id", F.coalesce("error_class", F.lit("read")).alias("outcome"))
+    """Files cut short or without an end are repaired, those without an end with all of their text; those without a start are errors."""
+    files = generated.made(read(spark, d, "documents"), _hostile, "text")
+    m = pdf.relation(files, "documents_meta").select("doc_id", F.coalesce("error_class", F.lit("read")).alias("outcome"))
+    item = F.array_sort(F.collect_list(F.struct("page_index", "elem_idx", "text")))
+    texts = pdf.relation(files, "text_elements").where("text <> ''").groupBy("doc_id").agg(F.md5(F.array_join(F.transform(item, lambda x: x["text"]), "\n")).alias("found"))
+    whole = F.when(F.col("doc_id") % 4 == 1, F.coalesce("found", F.md5(F.lit(""))))
+    return m.join(texts, "doc_id", "left").select("doc_id", "outcome", whole.alias("text_md5"))
 
 
 @query(ROUND_TRIP)

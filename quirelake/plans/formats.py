@@ -50,14 +50,17 @@ def _every(doc_id, items):
     from quirelake.kernel.writer import Builder
 
     b = Builder()
-    for _ in items:
-        b.page(EVERY.encode(), ["FlateDecode"])
+    for item in items:
+        # The turn's own lines are shown too.
+        shown = " ".join(f"<{line.encode('latin-1', 'replace').hex()}> Tj" for line in (item["text"] or "").split("\n"))
+        b.page(f"{EVERY} BT /F1 9 Tf {shown} ET".encode(), ["FlateDecode"])
     return b.build()
 
 
-@query(f"SELECT conv_id AS doc_id, op, category, p * k AS n FROM (SELECT conv_id, count(*) AS p FROM conversations GROUP BY 1), (VALUES {_ROWS}) v(op, category, k)")
+@query(f"SELECT conv_id AS doc_id, op, category, (p * (k + CASE WHEN op IN ('BT', 'ET', 'Tf') THEN 1 ELSE 0 END) + CASE WHEN op = 'Tj' THEN lines ELSE 0 END)::BIGINT AS n FROM (SELECT conv_id, count(*) AS p, sum(length(coalesce(text, '')) - length(replace(coalesce(text, ''), chr(10), '')) + 1) AS lines FROM conversations GROUP BY 1), (VALUES {_ROWS}) v(op, category, k)")
 def pdf_every_operator(spark, d):
-    files = generated.made(generated.gathered(read(spark, d, "conversations"), "conv_id", ["turn", "role"]), _every, "items")
+    """Every operator of the format, and a Tj for each line of each turn."""
+    files = generated.made(generated.gathered(read(spark, d, "conversations"), "conv_id", ["turn", "role"], "text"), _every, "items")
     return pdf.relation(files, "instructions").groupBy("doc_id", "op", "category").agg(F.count("*").alias("n"))
 
 
@@ -406,27 +409,32 @@ def pdf_edit_instructions(spark, d):
 
 @query(f"""{EDITED} SELECT doc_id, page_index, name, width, height, x::DOUBLE AS x, y::DOUBLE AS y, hex FROM t, (VALUES ('Im1', 2, 1, 10.0, 20.0, '0A0A0AFAFAFA'), ('Im2', 1, 1, 0.0, 0.0, '010203')) v(name, width, height, x, y, hex) WHERE page_index = 0""")
 def pdf_edit_images(spark, d):
-    """Images added, replaced and deleted, with texts modified beside them."""
+    """Images added, replaced and deleted, with a text modified beside them."""
     turns = read(spark, d, "conversations").withColumn("text", F.replace("text", F.lit("\n"), F.lit(" ")))
     add = {"page_index": 0, "kind": "add_image"}
     wanted = _edit_rows(
         turns, add | {"image": bytearray([10, 20]), "width": 2, "height": 1, "numbers": [10.0, 20.0, 5.0, 5.0]}, add | {"image": bytearray([1, 2, 3]), "width": 1, "height": 1, "numbers": [0.0, 0.0, 1.0, 1.0]},
         {"page_index": 0, "kind": "replace_image", "search": "Im1", "image": bytearray([10, 250]), "width": 2, "height": 1}, {"page_index": 0, "kind": "replace_in_object", "index": 0, "replacement": "new"},
+        # A third image comes and goes.
+        add | {"image": bytearray([9]), "width": 1, "height": 1, "numbers": [3.0, 3.0, 1.0, 1.0]}, {"page_index": 0, "kind": "delete_image", "search": "Im3"},
     )
     i = pdf.relation(edits.apply_edits(generated.turns_as_files(turns), wanted), "images", pixels=True)
     real = lambda c: F.col(f"position.{c}").cast("double").alias(c)
-    return i.select("doc_id", "page_index", "name", "width", "height", real("x"), real("y"), F.hex("pixels").alias("hex"))
+    # An image that is deleted is drawn nowhere.
+    return i.where("position IS NOT NULL").select("doc_id", "page_index", "name", "width", "height", real("x"), real("y"), F.hex("pixels").alias("hex"))
 
 
-@query("""SELECT p_partkey, upper(p_name) LIKE '%CM%' AND false AS math, p_brand = 'Brand#11' AND false AS identity, false AS predefined, false AS cjk, round((p_size + p_retailprice) / 2, 4) AS mean0, round(abs(p_retailprice - p_size), 4) AS width, CASE WHEN p_size < 26 THEN 'CMR' ELSE 'CMEX' END AS maths, p_size < 20 AS is_identity, p_size < 30 AS is_predefined, p_size < 40 AS is_cjk, p_size < 10 AS is_private FROM part""")
+@query("""SELECT p_partkey, p_size % 3 = 0 AS math, p_size % 5 = 0 AS identity, p_size % 7 = 0 AS predefined, p_size % 2 = 0 AS cjk, round((p_size + p_retailprice) / 2, 4) AS mean0, round(abs(p_retailprice - p_size), 4) AS width, CASE WHEN p_size < 26 THEN 'CMR' ELSE 'CMEX' END AS maths, p_size < 20 AS is_identity, p_size < 30 AS is_predefined, p_size < 40 AS is_cjk, p_size < 10 AS is_private FROM part""")
 def font_predicates(spark, d):
     """Predicates on names of fonts and maps and on characters, means and measures."""
     p, size = read(spark, d, "part"), F.col("p_size")
-    pick = lambda limit, yes, no: F.when(size < limit, F.lit(yes)).otherwise(F.lit(no))
+    pick_if = lambda case, yes, no: F.when(case, F.lit(yes)).otherwise(F.lit(no))
+    pick = lambda limit, yes, no: pick_if(size < limit, yes, no)
     box = geometry.rect(size.cast("double"), F.lit(0.0), F.col("p_retailprice"), F.lit(1.0))
     a, b = (F.array(c.cast("double"), F.lit(0.0), F.lit(0.0)) for c in (size, F.col("p_retailprice")))
     return p.select(
-        "p_partkey", codecs.math_encoding(F.col("p_name")).isNotNull().alias("math"), codecs.identity_map(F.col("p_brand")).alias("identity"), codecs.predefined_map(F.col("p_brand")).alias("predefined"), codecs.cjk_font(F.col("p_name")).alias("cjk"),
+        "p_partkey", codecs.math_encoding(F.concat(pick_if(size % 3 == 0, "CMSY", "CSMY"), size.cast("string"))).isNotNull().alias("math"), codecs.identity_map(F.concat(F.lit("Identity-"), pick_if(size % 5 == 0, "H", "h"))).alias("identity"),
+        codecs.predefined_map(F.concat(F.lit("UniJIS-UCS2-"), pick_if(size % 7 == 0, "V", "W"))).alias("predefined"), codecs.cjk_font(F.concat(F.lit("ABCDEF+MS "), pick_if(size % 2 == 0, "Gothic", "Gothik"))).alias("cjk"),
         F.round(F.get(geometry.mean_color(a, b), F.lit(0)), 4).alias("mean0"), F.round(geometry.width(box), 4).alias("width"), codecs.math_encoding(pick(26, "ABCDEF+CMR10", "cmex10")).alias("maths"), codecs.identity_map(pick(20, "Identity-V", "UniGB-UCS2-H")).alias("is_identity"),
         codecs.predefined_map(pick(30, "90ms-RKSJ-H", "Own-H")).alias("is_predefined"), codecs.cjk_font(pick(40, "MS-Mincho", "Helvetica")).alias("is_cjk"), codecs.has_private_use(pick(10, "a", "a")).alias("is_private"),
     )
@@ -518,18 +526,17 @@ def pdf_edit_counts(spark, d):
     return edits.apply_edits(generated.turns_as_files(turns), wanted).select("doc_id", "changes")
 
 
-def _modified(doc_id, text):
-    return generated.one_page(int(doc_id), "one\ntwo\none")
-
-
-@query("SELECT doc_id, 'new,two,one' AS texts FROM documents")
+@query("""WITH l AS (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: x <> '') AS l FROM documents), p AS (SELECT *, list_position(l, l[-1]) AS k FROM l WHERE len(l) > 0)
+SELECT doc_id, len(l)::BIGINT AS n_lines, md5(array_to_string(list_concat(list_concat(l[:k - 1], ['new']), l[k + 1:]), chr(10))) AS text_md5 FROM p""")
 def pdf_edit_modify(spark, d):
-    """The first string with this text in this font."""
+    """The first string with this text in this font: the first line that equals the last one."""
     docs = read(spark, d, "documents")
-    files = generated.made(docs, _modified, "text")
-    wanted = docs.select(F.lit(1).cast("long").alias("edit_id"), "doc_id", F.lit(0).alias("page_index"), F.lit("modify").alias("kind"), F.lit("one").alias("search"), F.lit("new").alias("replacement"), F.lit("F1").alias("font_name"))
-    e = _texts(edits.apply_edits(files, wanted))
-    return e.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("elem_idx", "text"))), lambda x: x["text"]), ",").alias("texts"))
+    files = generated.documents_as_files(docs)
+    last = F.element_at(F.filter(F.split("text", "\n"), lambda x: x != ""), -1)
+    wanted = docs.where(F.regexp_replace("text", "\n", "") != "").select(F.lit(1).cast("long").alias("edit_id"), "doc_id", F.lit(0).alias("page_index"), F.lit("modify").alias("kind"), last.alias("search"), F.lit("new").alias("replacement"), F.lit("F1").alias("font_name"))
+    e = _texts(edits.apply_edits(files, wanted)).where("text <> ''")
+    item = F.array_sort(F.collect_list(F.struct("elem_idx", "text")))
+    return e.groupBy("doc_id").agg(F.count("*").alias("n_lines"), F.md5(F.array_join(F.transform(item, lambda x: x["text"]), "\n")).alias("text_md5"))
 
 
 def _numeric_functions(doc_id, items):

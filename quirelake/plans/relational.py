@@ -117,9 +117,11 @@ def union_first_wins(spark, d):
     return graph.first_wins([c.where("key % 7 = 0"), c.where("key % 3 = 0").withColumn("value", F.col("value") + 1), c.withColumn("value", F.col("value") + 2)], ["key"])
 
 
-@query("SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL)")
+@query("SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL AND o_totalprice > 480000)")
 def delete_by_key(spark, d):
-    return graph.deleted(read(spark, d, "customer").select("c_custkey", "c_name"), read(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey")), ["c_custkey"])
+    """Customers without a large order: some go, and some stay."""
+    large = read(spark, d, "orders").where("o_totalprice > 480000").select(F.col("o_custkey").alias("c_custkey"))
+    return graph.deleted(read(spark, d, "customer").select("c_custkey", "c_name"), large, ["c_custkey"])
 
 
 # Aggregates -------------------------------------------------------------------------------------
