@@ -45,6 +45,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quirelake.operators.joins import spread_join
+
 from .common import narrow, table, written
 
 WORDS, SIMILARITY = 5, 0.8
@@ -286,8 +288,8 @@ def alike(rows: DataFrame, least: int, similarity: float) -> DataFrame:
     return rows.mapInArrow(each, "a bigint, b bigint")
 
 
-def meetings(apart: DataFrame) -> DataFrame:
-    """bucket, band, id, component, meeting, side: which rows (bucket, band, id, size, component) of buckets with several components have to meet where."""
+def meetings(apart: DataFrame, hot: DataFrame) -> DataFrame:
+    """bucket, band, id, component, meeting, side: which rows (bucket, band, id, size, component) of buckets with several components have to meet where; hot: the buckets with most rows."""
     parts = apart.groupBy("bucket", "component").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"))
     parts = parts.groupBy("bucket").agg(F.max_by(F.struct("component", "n", "bytes"), F.struct("n", F.bitwise_not("component"))).alias("most"), F.sum("n").alias("n"), F.sum("bytes").alias("bytes"), F.count("*").alias("components"))
     blocks = lambda n, size: F.ceil(F.greatest(n / BLOCK, size / BLOCK_BYTES)).cast("int")
@@ -296,7 +298,7 @@ def meetings(apart: DataFrame) -> DataFrame:
         blocks(F.col("most.n"), F.col("most.bytes")).alias("inner"), blocks(F.col("n") - F.col("most.n"), F.col("bytes") - F.col("most.bytes")).alias("outer"),
     )
     cut = written(cut, "cuts")
-    rows = apart.join(F.broadcast(cut) if cut.count() <= BROADCAST_IDS else cut, "bucket")
+    rows = apart.join(F.broadcast(cut), "bucket") if cut.count() <= BROADCAST_IDS else spread_join(apart, cut, ["bucket"], hot=hot)
     inside = F.col("component") == F.col("largest")
     rows = rows.withColumn("own", F.pmod(F.xxhash64("id"), F.when(inside, F.col("inner")).otherwise(F.col("outer"))).cast("int"))
     number = lambda kind, i, j: F.concat_ws(",", F.lit(kind), i.cast("string"), j.cast("string"))
@@ -313,18 +315,21 @@ def meetings(apart: DataFrame) -> DataFrame:
 def links(members: DataFrame, about: DataFrame, docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """Verified links (a, b) that connect all rows which share a bucket and are similar; members: bucket, band, id, size; about: id, sketch, keys."""
     sizes = written(members.groupBy("bucket").agg(F.count("*").alias("n"), F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("bucket", "n"), "buckets")
-    left = written(members.join(sizes, "bucket"), "members")
+    # At most 256 buckets hold over a 256th of the rows each: their rows go to many tasks wherever they are joined.
+    shared = sizes.agg(F.sum("n")).first()[0] or 0
+    hot = written(sizes.where(F.col("n") * 256 > shared).select("bucket"), "hot-buckets")
+    left = written(spread_join(members, sizes, ["bucket"], hot=hot), "members")
     company = left.groupBy("id").agg(F.sum("n").alias("company"))
     pivots = written(left.join(company, "id").groupBy("bucket").agg(F.max_by("id", F.struct("company", F.bitwise_not("id"))).alias("pivot")), "pivots")
     elements = written(bags(docs, left.select("id").distinct()), "bags")
-    to_pivot = left.join(pivots, "bucket").where("id <> pivot").select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct()
+    to_pivot = spread_join(left, pivots, ["bucket"], hot=hot).where("id <> pivot").select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct()
     tested = written(verified(written(to_pivot, "pairs"), elements), "links")
     near = tested.where(F.col("similarity") >= similarity).select("a", "b")
     # What is left: rows of buckets of three or more that lie in different components.
     found = written(components(near), "parts")
     apart = left.where("n > 2").join(found, "id", "left").select("bucket", "band", "id", (F.col("size") * 4).alias("size"), F.coalesce("class_id", "id").alias("component"))
     carried = about.join(elements.select("id", "short"), "id")
-    rows = meetings(written(apart, "apart")).join(carried, "id").select("bucket", "band", "meeting", "side", "id", "component", "sketch", "keys", "short").repartition("bucket", "meeting").sortWithinPartitions("bucket", "band", "meeting")
+    rows = meetings(written(apart, "apart"), hot).join(carried, "id").select("bucket", "band", "meeting", "side", "id", "component", "sketch", "keys", "short").repartition("bucket", "meeting").sortWithinPartitions("bucket", "band", "meeting")
     slots = BANDS * ROWS
     least = int(slots * similarity - FAR * (slots * similarity * (1 - similarity)) ** 0.5)
     more = written(alike(rows, least, similarity).distinct().join(tested.select("a", "b"), ["a", "b"], "left_anti"), "more")
@@ -337,9 +342,9 @@ def components(edges: DataFrame) -> DataFrame:
 
     def star(e: DataFrame, large: bool) -> DataFrame:
         """Joins each node's neighbours (larger ones, or smaller ones and itself) to the least of all."""
-        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else e
+        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else written(e, "large")
         least = written(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("least")), "least")
-        joined = both.join(least, "u")
+        joined = spread_join(both, least, ["u"])  # a hub's neighbours are many
         if large:
             out = joined.where("v > u").select(F.col("v").alias("u"), F.col("least").alias("v"))
         else:
