@@ -19,6 +19,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quirelake.operators.tables import written
+
 #: Rows of a part at least; parts for each shuffle partition at most; sampled rows for each part.
 FAIR_ROWS, PARTS_EACH, SAMPLED = 200_000, 8, 64
 
@@ -28,9 +30,10 @@ class Scan:
 
     PART = "_scan_part"
 
-    def __init__(self, df: DataFrame, keys: list[str], order: list[str], fair: int | None = None):
+    def __init__(self, df: DataFrame, keys: list[str], order: list[str], fair: int | None = None, total: int | None = None):
+        """total: how many rows df has, if that is known."""
         self.keys, self.order, self.names = list(keys), list(order), list(df.columns)
-        self.parts = 1
+        self.parts, self.total = 1, df.count() if total is None else total
         cuts = self._cuts(df, fair)
         if cuts is None:
             self.df = df.withColumn(self.PART, F.lit(0))
@@ -41,7 +44,7 @@ class Scan:
 
     def _cuts(self, df: DataFrame, fair: int | None) -> DataFrame | None:
         """For each hot key the order values (structs) that its parts start at, with every n-th of them apart."""
-        total = df.count()
+        total = self.total
         if fair is None:
             fair = max(FAIR_ROWS, total // (PARTS_EACH * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
         if total <= fair:
@@ -102,43 +105,70 @@ class Scan:
     def done(self, rows: DataFrame, *names: str) -> DataFrame:
         return rows.select(*(F.col(f"`{c}`") for c in dict.fromkeys([*self.names, *names])))
 
+    def _with(self, rows: DataFrame, value: Column) -> DataFrame:
+        """rows with the value to scan; written if its carries are taken from them too."""
+        rows = rows.withColumn("_own", value)
+        return written(rows, "scanned") if self.parts > 1 else rows
+
+    # Each of these takes rows that have the part (df, or what another of these has made of it) and adds a column.
+
+    def sum(self, rows: DataFrame, value: Column, name: str) -> DataFrame:
+        """The sum of value up to each row; nulls add nothing, and before the first number it is null."""
+        rows = self._with(rows, value).withColumn(name, F.sum("_own").over(self.running))
+        plus = lambda a, b: F.when(a.isNull() | b.isNull(), F.coalesce(a, b)).otherwise(a + b)
+        return self.completed(rows, F.sum("_own"), lambda c, w: F.sum(c).over(w), name, plus).drop("_own")
+
+    def min(self, rows: DataFrame, value: Column, name: str) -> DataFrame:
+        rows = self._with(rows, value).withColumn(name, F.min("_own").over(self.running))
+        return self.completed(rows, F.min("_own"), lambda c, w: F.min(c).over(w), name, lambda a, b: F.least(a, b)).drop("_own")
+
+    def number(self, rows: DataFrame, name: str) -> DataFrame:
+        """From 1 on within each key."""
+        rows = (written(rows, "scanned") if self.parts > 1 else rows).withColumn(name, F.row_number().over(self.window).cast("long"))
+        return self.completed(rows, F.count("*"), lambda c, w: F.sum(c).over(w), name, lambda a, b: F.coalesce(a, F.lit(0)) + b)
+
+    def last(self, rows: DataFrame, values: dict[str, Column]) -> DataFrame:
+        """The last value that isn't null, up to each row, of each of the values by name."""
+        rows = rows.select("*", *(c.alias(f"_own_{n}") for n, c in values.items()))
+        rows = written(rows, "scanned") if self.parts > 1 else rows
+        rows = rows.withColumns({n: F.last(f"_own_{n}", ignorenulls=True).over(self.running) for n in values})
+        for n in values:
+            latest = F.max_by(f"_own_{n}", F.when(F.col(f"_own_{n}").isNotNull(), F.struct(*self.order)))
+            rows = self.completed(rows, latest, lambda c, w: F.last(c, ignorenulls=True).over(w), n, lambda a, b: F.coalesce(b, a))
+        return rows.drop(*(f"_own_{n}" for n in values))
+
+    def previous(self, rows: DataFrame, value: Column, name: str) -> DataFrame:
+        """A struct with the value of the row before; null for the first row of a key."""
+        rows = self._with(rows, F.struct(value.alias("value"))).withColumn(name, F.lag("_own").over(self.window))
+        latest = F.max_by("_own", F.struct(*self.order))
+        return self.completed(rows, latest, lambda c, w: F.last(c, ignorenulls=True).over(w), name, lambda a, b: F.coalesce(b, a)).drop("_own")
+
 
 def running_sum(df: DataFrame, keys: list[str], order: list[str], value: Column, name: str, fair: int | None = None) -> DataFrame:
     """The sum of value up to each row; nulls add nothing, and before the first number it is null."""
     s = Scan(df, keys, order, fair)
-    rows = s.df.withColumn("_own", value).withColumn(name, F.sum("_own").over(s.running))
-    plus = lambda a, b: F.when(a.isNull() | b.isNull(), F.coalesce(a, b)).otherwise(a + b)
-    return s.done(s.completed(rows, F.sum("_own"), lambda c, w: F.sum(c).over(w), name, plus), name)
+    return s.done(s.sum(s.df, value, name), name)
 
 
 def running_min(df: DataFrame, keys: list[str], order: list[str], value: Column, name: str, fair: int | None = None) -> DataFrame:
     s = Scan(df, keys, order, fair)
-    rows = s.df.withColumn("_own", value).withColumn(name, F.min("_own").over(s.running))
-    return s.done(s.completed(rows, F.min("_own"), lambda c, w: F.min(c).over(w), name, lambda a, b: F.least(a, b)), name)
+    return s.done(s.min(s.df, value, name), name)
 
 
 def row_number(df: DataFrame, keys: list[str], order: list[str], name: str, fair: int | None = None) -> DataFrame:
     """From 1 on within each key."""
     s = Scan(df, keys, order, fair)
-    rows = s.df.withColumn(name, F.row_number().over(s.window).cast("long"))
-    return s.done(s.completed(rows, F.count("*"), lambda c, w: F.sum(c).over(w), name, lambda a, b: F.coalesce(a, F.lit(0)) + b), name)
+    return s.done(s.number(s.df, name), name)
 
 
 def last_known(df: DataFrame, keys: list[str], order: list[str], value: Column | dict[str, Column], name: str = "", fair: int | None = None) -> DataFrame:
     """The last value that isn't null, up to each row; of several values by name in one go, if value is a dict."""
     values = value if isinstance(value, dict) else {name: value}
     s = Scan(df, keys, order, fair)
-    rows = s.df.select("*", *(c.alias(f"_own_{n}") for n, c in values.items()))
-    rows = rows.withColumns({n: F.last(f"_own_{n}", ignorenulls=True).over(s.running) for n in values})
-    for n in values:
-        latest = F.max_by(f"_own_{n}", F.when(F.col(f"_own_{n}").isNotNull(), F.struct(*s.order)))
-        rows = s.completed(rows, latest, lambda c, w: F.last(c, ignorenulls=True).over(w), n, lambda a, b: F.coalesce(b, a))
-    return s.done(rows, *values)
+    return s.done(s.last(s.df, values), *values)
 
 
 def previous(df: DataFrame, keys: list[str], order: list[str], value: Column, name: str, fair: int | None = None) -> DataFrame:
     """A struct with the value of the row before; null for the first row of a key."""
     s = Scan(df, keys, order, fair)
-    rows = s.df.withColumn("_own", F.struct(value.alias("value"))).withColumn(name, F.lag("_own").over(s.window))
-    latest = F.max_by("_own", F.struct(*s.order))
-    return s.done(s.completed(rows, latest, lambda c, w: F.last(c, ignorenulls=True).over(w), name, lambda a, b: F.coalesce(b, a)), name)
+    return s.done(s.previous(s.df, value, name), name)
