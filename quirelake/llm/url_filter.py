@@ -10,6 +10,7 @@ the prior's weight. A host is blocked if even the upper bound of its posterior
 without labelled pages so have their domain's mean and a wide bound.
 
 Everything is DataFrame functions. Pages are counted by host before any join;
+hosts of a domain that has a good part of all are joined with it in many tasks;
 the host's verdict comes back by a broadcast for hosts with over a 256th of the
 pages (at most 256 of them) and by a shuffled join for the others.
 
@@ -26,6 +27,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quirelake.operators.joins import spread_join
+
 from .common import table, written
 
 #: verdict, host, start of the path.
@@ -97,15 +100,15 @@ def reputations(hosts: DataFrame, z: float = Z, suffixes=LONG_SUFFIXES) -> DataF
     pn, pgood = (F.lit(x or 0.0) for x in s.agg(F.sum("n"), F.sum("good")).first())
     up = lambda df, *keep: df.select(*keep, F.col("n").alias("pn"), F.col("good").alias("pgood"))
     level3 = s.select("*", pn.alias("pn"), pgood.alias("pgood"), F.lit("").alias("parent"))
-    level2 = d.join(up(s, "suffix"), "suffix").withColumn("parent", F.col("suffix"))
-    level1 = h.join(up(d, "domain"), "domain").withColumn("parent", F.col("domain"))
+    level2 = spread_join(d, up(s, "suffix"), ["suffix"]).withColumn("parent", F.col("suffix"))
+    level1 = spread_join(h, up(d, "domain"), ["domain"]).withColumn("parent", F.col("domain"))
     w3, w2, w1 = (_weight(x).first()["weight"] for x in (level3, level2, level1))
     shrunk = lambda w, mean: (w * mean + F.col("good")) / (w + F.col("n"))
     # The mean of all pages itself has a uniform prior.
     s = level3.withColumn("suffix_mean", shrunk(w3, (F.col("pgood") + 1) / (F.col("pn") + 2))).select("suffix", "suffix_mean")
-    d = d.join(s, "suffix").withColumn("domain_mean", shrunk(w2, F.col("suffix_mean"))).select("domain", "domain_mean")
+    d = spread_join(d, s, ["suffix"]).withColumn("domain_mean", shrunk(w2, F.col("suffix_mean"))).select("domain", "domain_mean")
     mean = shrunk(w1, F.col("domain_mean"))
-    h = h.join(d, "domain").select("host", mean.alias("mean"), (w1 + F.col("n")).alias("weight"))
+    h = spread_join(h, d, ["domain"]).select("host", mean.alias("mean"), (w1 + F.col("n")).alias("weight"))
     return h.select("host", "mean", (F.col("mean") + z * F.sqrt(F.col("mean") * (1 - F.col("mean")) / (F.col("weight") + 1))).alias("upper"))
 
 
