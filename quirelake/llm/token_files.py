@@ -5,6 +5,8 @@ holds whole documents in ascending doc_id order and ends once it has BLOCK_IDS
 ids or more (a longer document ends its block). Columns:
 
 - shard, block: order of the blocks; shards are ranges of doc_id in order
+- first_doc, last_doc: its least and largest doc_id that is not null; Parquet keeps their bounds for each group of rows,
+  so a search for a document skips files and groups (ids_of)
 - doc_ids: the documents of the block; ends: for each, the ids in the block up to its end
 - bits: the width of an id, the least that holds the vocabulary
 - payload: the ids, ``bits`` bits each, least significant bit first, without gaps
@@ -33,7 +35,7 @@ from .common import narrow, shuffle_partitions, table, vocabulary, written
 from .wordcache import encoder
 
 BLOCK_IDS = 1 << 16
-SCHEMA = "shard int, block int, doc_ids array<bigint>, ends array<bigint>, bits int, payload binary"
+SCHEMA = "shard int, block int, first_doc bigint, last_doc bigint, doc_ids array<bigint>, ends array<bigint>, bits int, payload binary"
 SLICE = 1 << 15
 
 
@@ -79,8 +81,9 @@ def write_ids(docs: DataFrame, path: str, end_id: int | None, name: str = "token
         ids, ends, held, n = [], [], [], 0
 
         def close() -> pa.RecordBatch:
-            row = [[shard], [block], [ids], [ends], [bits], [pack(np.frombuffer(b"".join(held), "<u4"), bits)]]
-            return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, (pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int32(), pa.binary()), strict=True)], ["shard", "block", "doc_ids", "ends", "bits", "payload"])
+            known = [i for i in ids if i is not None]
+            row = [[shard], [block], known[:1] or [None], known[-1:] or [None], [ids], [ends], [bits], [pack(np.frombuffer(b"".join(held), "<u4"), bits)]]
+            return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int32(), pa.binary()), strict=True)], ["shard", "block", "first_doc", "last_doc", "doc_ids", "ends", "bits", "payload"])
 
         for batch in batches:
             texts = batch.column("text")
@@ -119,6 +122,28 @@ def read_ids(blocks: DataFrame) -> DataFrame:
     return blocks.mapInArrow(documents, "doc_id bigint, ids binary, shard int, block int, first bigint")
 
 
+def ids_of(blocks: DataFrame, doc_ids: list[int]) -> DataFrame:
+    """doc_id, ids of the documents named, by random access: only blocks that can hold one are read, and of these only the bits of those documents.
+
+    doc_ids is a list that a person asks for (each is a condition on the scan); join read_ids with a table of many.
+    """
+    asked = sorted(set(doc_ids))
+    if not asked:
+        return blocks.where("false").select(F.lit(None).cast("bigint").alias("doc_id"), F.lit(None).cast("binary").alias("ids"))
+    inside = F.lit(False)
+    for i in asked:
+        inside |= (F.col("first_doc") <= i) & (F.col("last_doc") >= i)
+    wanted = set(asked)
+
+    def documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                at = [(i, a, b) for i, a, b in zip(row["doc_ids"], [0, *row["ends"][:-1]], row["ends"], strict=True) if i in wanted]
+                yield pa.RecordBatch.from_pydict({"doc_id": pa.array([i for i, _, _ in at], pa.int64()), "ids": pa.array([unpack(row["payload"], row["bits"], a, b).tobytes() for _, a, b in at], pa.binary())})
+
+    return blocks.where(inside).mapInArrow(documents, "doc_id bigint, ids binary")
+
+
 def block_starts(blocks: DataFrame) -> DataFrame:
     """shard, block, before: the ids of all blocks before it. One sum for each shard goes through a single task, no row of a document."""
     sizes = blocks.select("shard", "block", F.element_at("ends", -1).alias("n"))

@@ -234,6 +234,9 @@ def test_token_files(docs, texts, nothing):
         assert before is None or r.doc_id >= before
         at, before = at + len(r.ids) // 4, r.doc_id
     assert token_files.read_ids(token_files.write_ids(nothing, path, 2)).collect() == []
+    some = token_files.ids_of(blocks, [20, 12, 999])
+    assert sorted((r.doc_id, bytes(r.ids)) for r in some.collect()) == sorted((i, e.encode(t or "") + b"\x02\0\0\0") for i, t in texts if i in (12, 20))
+    assert "GreaterThanOrEqual(last_doc,12)" in some._jdf.queryExecution().toString() and token_files.ids_of(blocks, []).collect() == []
 
 
 def test_packing(docs, texts, nothing):
