@@ -6,7 +6,7 @@ import base64
 import json
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -84,12 +84,12 @@ def answers(files: DataFrame, request: Column | str) -> DataFrame:
     ship(files.sparkSession)
     request = F.lit(request) if isinstance(request, str) else request
 
-    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = [handle(c or b"", q) for c, q in zip(batch["content"], batch["request"], strict=True)]
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "response": [a for a, _ in got], "content": [b for _, b in got]})
+            got = [handle(c.as_py() or b"", q.as_py()) for c, q in zip(batch.column("content"), batch.column("request"), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([a for a, _ in got], pa.string()), pa.array([b for _, b in got], pa.binary())], ["doc_id", "response", "content"])
 
-    return files.select("doc_id", "content", request.alias("request")).mapInPandas(each, "doc_id bigint, response string, content binary")
+    return files.select("doc_id", "content", request.alias("request")).mapInArrow(each, "doc_id bigint, response string, content binary")
 
 
 def sessions(files: DataFrame, requests: list[str] | Column, password: str = "") -> DataFrame:
@@ -101,18 +101,20 @@ def sessions(files: DataFrame, requests: list[str] | Column, password: str = "")
     ship(files.sparkSession)
     asked = requests if isinstance(requests, Column) else F.array(*map(F.lit, requests))
 
-    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for doc_id, before, own in zip(batch["doc_id"], batch["content"], batch["requests"], strict=True):
-                data, said = before or b"", []
-                for q in own if own is not None else ():
+            responses, contents = [], []
+            for held, own in zip(batch.column("content"), batch.column("requests"), strict=True):
+                before = held.as_py() or b""
+                data, said = before, []
+                for q in own.as_py() or ():
                     answer, data = handle(data, q, password)
                     said.append(answer)
-                rows.append((doc_id, said, data if data is not (before or b"") and data != before else None))
-            yield pd.DataFrame(rows, columns=["doc_id", "responses", "content"])
+                responses.append(said)
+                contents.append(data if data != before else None)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(responses, pa.list_(pa.string())), pa.array(contents, pa.binary())], ["doc_id", "responses", "content"])
 
-    return files.select("doc_id", "content", asked.alias("requests")).mapInPandas(each, "doc_id bigint, responses array<string>, content binary")
+    return files.select("doc_id", "content", asked.alias("requests")).mapInArrow(each, "doc_id bigint, responses array<string>, content binary")
 
 
 class PdfText:
