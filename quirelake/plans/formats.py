@@ -516,6 +516,14 @@ def pdf_data_source(spark, d):
     return pages.agg(F.count("*").alias("pages"), F.countDistinct("doc_id").alias("files"))
 
 
+@query("SELECT p AS page_index, count(*) AS pages FROM (SELECT row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS p FROM conversations) WHERE p IN (1, 3) GROUP BY 1")
+def pdf_picked_pages(spark, d):
+    """Two pages of each file of a folder: the reader decodes no others."""
+    folder = _in_folder(spark, generated.turns_as_files(read(spark, d, "conversations")))
+    pages = datasource.picked(spark, folder.removeprefix("file://").removeprefix("file:"), "pdf_pages", page_index=[1, 3])
+    return pages.groupBy(F.col("page_index").cast("long").alias("page_index")).agg(F.count("*").alias("pages"))
+
+
 @query("""WITH t AS (SELECT conv_id AS doc_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) - 1 AS p, replace(text, chr(10), ' ') AS text FROM conversations)
 SELECT doc_id, sum(CASE p WHEN 0 THEN (len(text) - len(replace(lower(text), 'an', ''))) // 2 WHEN 1 THEN CASE WHEN contains(text, 'the') THEN 1 ELSE 0 END ELSE 0 END)::INT + 3 AS changes FROM t GROUP BY 1""")
 def pdf_edit_counts(spark, d):

@@ -180,22 +180,25 @@ def test_heavy_cells_are_split(spark, monkeypatch):
     assert ranges.overlapping(points, points).count() == 9 * 100
 
 
-def test_conditions_reach_the_reader(spark, tmp_path, monkeypatch):
-    datasource.register(spark)
+def test_values_reach_the_reader(spark, tmp_path, monkeypatch):
     turns = spark.createDataFrame([(c, t, "user", f"c{c} t{t}") for c in range(3) for t in range(4)], "conv_id long, turn long, role string, text string")
     folder = str(tmp_path / "files")
+    datasource.register(spark)
     generated.turns_as_files(turns).select(F.concat("doc_id", F.lit(".pdf")).alias("name"), "content").write.format("pdf").mode("append").save(folder)
     rows = spark.read.format("pdf").load(folder)
-    picked = rows.where("page_index = 2 AND text LIKE 'c1%' AND font_size > 1")
-    assert [x.text for x in picked.collect()] == ["c1 t2"]
-    assert "text LIKE" not in plan(picked).split("Physical Plan")[-1] and rows.where("page_index IN (0, 3)").count() == 6 and rows.where("page_index >= 3 OR page_index < 1").count() == 6
-    kinds = spark.read.format("pdf").option("relation", "xref").load(folder)
-    assert kinds.where("kind = 'free'").count() + kinds.where("kind <> 'free'").count() == kinds.count()
-    # Of pages that a condition rules out, nothing is decoded.
-    schema = rows.schema
-    reader = datasource.PdfReader({"path": folder}, schema)
-    left = list(reader.pushFilters([datasource.EqualTo(("page_index",), 1), datasource.GreaterThan(("x",), 0.0), datasource.IsNotNull(("text",)), datasource.IsNull(("matrix", "a"))]))
-    assert len(left) == 2 and [reader.wanted(p) for p in range(4)] == [False, True, False, False]
+    # Scans of one DataFrame with different conditions don't touch each other.
+    assert rows.count() == 12 and rows.where("page_index = 1").count() == 3 and rows.count() == 12
+    assert sorted(r.page_index for r in rows.where("page_index = 0").union(rows.where("page_index = 1")).collect()) == [0] * 3 + [1] * 3
+    picked = lambda *a, **k: datasource.picked(spark, folder, *a, **k)
+    assert sorted(r.text for r in picked(page_index=2).collect()) == ["c0 t2", "c1 t2", "c2 t2"] and picked(page_index=[0, 3], text=("c1 t0", "c2 t1")).count() == 1
+    one = picked(page_index=0).first().doc_id
+    assert picked(doc_id=one).count() == 4 and picked(doc_id=-1).count() == 0 and picked("pdf_pages", page_index=[1, 2]).count() == 6
+    assert picked("xref", kind="free").count() + rows.sparkSession.read.format("pdf").option("relation", "xref").load(folder).where("kind <> 'free'").count() == picked("xref").count()
+    with pytest.raises(ValueError, match="no column colour"):
+        picked(colour=1)
+    # Of pages that are ruled out, nothing is decoded.
+    reader = datasource.PdfReader({"path": folder, "values": '{"page_index": [1]}'}, rows.schema)
+    assert [reader.wanted(p) for p in range(4)] == [False, True, False, False]
     seen = []
     from quirelake.kernel.document import Document
 
