@@ -358,6 +358,19 @@ def _adam(grad, params: list[np.ndarray], steps: int, rate: float) -> None:
             p += rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
 
 
+def portions(texts: list[str]) -> Iterator[list[str]]:
+    """texts, about a megabyte at a time."""
+    own, held = [], 0
+    for t in texts:
+        own.append(t)
+        held += len(t)
+        if held >= BLOCK:
+            yield own
+            own, held = [], 0
+    if own:
+        yield own
+
+
 def train(texts: list[str], labels: list[int]) -> LineField:
     """Fits the field, then the logistic function of the mean marginal."""
     n = N_OWN * 3 + 3
@@ -365,7 +378,8 @@ def train(texts: list[str], labels: list[int]) -> LineField:
         rate = float(np.mean(labels)) if labels else 0.5
         rate = min(max(rate, 0.01), 0.99)
         return LineField(np.zeros(n), np.zeros((2, 2)), np.zeros(n), np.ones(n), 0.0, float(np.log(rate / (1 - rate))))
-    own, lengths, n_lines = line_features(texts)
+    # Features of some texts at a time: finding them takes far more memory than they do.
+    own, _, n_lines = (np.concatenate(c) for c in zip(*map(line_features, portions(texts)), strict=True))
     x = with_neighbours(own, n_lines)
     centre, spread = x.mean(axis=0), x.std(axis=0) + 1e-3
     centre[-1], spread[-1] = 0, 1
@@ -388,7 +402,7 @@ def train(texts: list[str], labels: list[int]) -> LineField:
     weights, trans = np.zeros(n), np.zeros((2, 2))
     _adam(grad, [weights, trans], STEPS, RATE)
     field = LineField(weights, trans, centre, spread)
-    m, z = field.mean_marginal(texts), np.array(labels, float)
+    m, z = np.concatenate([field.mean_marginal(some) for some in portions(texts)]), np.array(labels, float)
 
     def slope(line):
         p = 1 / (1 + np.exp(-np.clip(line[0] * m + line[1], -30, 30)))
