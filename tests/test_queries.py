@@ -37,6 +37,18 @@ def test_against_sql(spark, duck, name):
     assert rows([tuple(r) for r in df.collect()], df.columns) == rows(want.fetchall(), want.columns)
 
 
+@pytest.mark.parametrize("keys,stay", [([1, 1, 3, None], [2, 5]), ([None], [1, 2, 3, 5, None]), ([], [1, 2, 3, 5, None])])
+def test_orders_of_any_price_delete_their_customer(spark, tmp_path, keys, stay):
+    """Orders far below and above 480,000, which were once the only ones read."""
+    spark.createDataFrame([(k, f"c{k}") for k in (1, 2, 3, 5, None)], "c_custkey long, c_name string").write.parquet(f"{tmp_path}/customer.parquet")
+    spark.createDataFrame([(i, k, 1.0 if i else 500_000.0) for i, k in enumerate(keys)], "o_orderkey long, o_custkey long, o_totalprice double").write.parquet(f"{tmp_path}/orders.parquet")
+    got = {tuple(r) for r in catalog.QUERIES["delete_by_key"](spark, str(tmp_path)).collect()}
+    con = duckdb.connect()
+    for name in ("customer", "orders"):
+        con.sql(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    assert got == set(con.sql(catalog.ORACLE_SQL["delete_by_key"]).fetchall()) == {(k, f"c{k}") for k in stay}
+
+
 @pytest.mark.parametrize("kind", range(3))
 def test_fonts_show_every_line(kind):
     every = "".join(chr(c) for c in range(256) if c != 10)
