@@ -1,17 +1,23 @@
-"""Byte-pair encoders that look words up in a cache which is bounded in bytes.
-
-A pre-token of either vocabulary never reaches over a space that follows a
-character which is no white space, so a text is cut there and each chunk is
-encoded once for as long as it stays in the cache. A chunk that is not cached
-is merged by rank with tiktoken's core over the same merges; chunks with
-unusual characters go to the tokenizers library itself. ``check`` encodes one
-text with the library and compares.
+"""Byte-pair encoders: tiktoken's core merges by rank over the merges of a tokenizers file.
+
+A byte-level vocabulary takes a whole text of plain characters in one call. Of
+a run of white space before a word, the last character starts a pre-token of
+its own; the text is cut there, so the pattern needs no look-ahead, and the
+core matches it without a stack.
+
+Other texts, and all of a vocabulary that lowers, look words up in a cache
+which is bounded in bytes. A pre-token of either vocabulary never reaches over
+a space that follows a character which is no white space, so a text is cut
+there and each chunk is encoded once for as long as it stays in the cache.
+Chunks with unusual characters go to the tokenizers library itself. ``check``
+encodes one text with the library and compares.
 """
 
 from __future__ import annotations
 
 import json
 import re
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -24,6 +30,12 @@ PLAIN = re.compile(r"[\n -~\xa1-\xac\xae-\xff]*\Z")
 #: A run of white space which a cut at each space would tear.
 TORN = re.compile(rf" [{SPACES}]* ")
 CHUNKS = re.compile(rf"[{SPACES}]*[^{SPACES}]+|[{SPACES}]+")
+#: White space of plain texts: two in a row, a run before a word without its last one, and the end of a word.
+DOUBLED = ("  ", " \n", "\n ", "\n\n")
+RUNS = re.compile(r"[ \n]+(?=[ \n][^ \n])")
+WORD_END = re.compile(r"[^ \n](?=[ \n])")
+#: Characters of a long text that go into one call, at the next end of a word.
+LONG = 1 << 20
 
 
 def _byte_of() -> dict[str, int]:
@@ -66,8 +78,10 @@ class Encoder:
             if (key := raw(left + right)) not in ranks:
                 ranks[key] = len(ids)
                 ids.append(vocab[left + right])
-        self.core = tiktoken.Encoding("merges", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
+        core = tiktoken.Encoding("merges", pat_str=r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+", mergeable_ranks=ranks, special_tokens={})._core_bpe
+        self.core, self.whole = core.encode_single_piece, core.encode_ordinary
         self.ids = [i.to_bytes(4, "little", signed=True) for i in ids]
+        self.id_of = np.array(ids, dtype="<i4")
         self.end = b"\xff" if self.suffix else b""
         import regex
 
@@ -91,11 +105,28 @@ class Encoder:
     def _piece(self, piece: str) -> bytes:
         return b"".join([self.ids[r] for r in self.core(piece.encode() + self.end)])
 
+    def _plain(self, text: str) -> bytes:
+        """Ids of a text of plain characters in a byte-level vocabulary."""
+        ends = [m.end() for m in RUNS.finditer(text, 0, len(text.rstrip(" \n")))] if any(x in text for x in DOUBLED) else []
+        start, ranks, out = 0, [], []
+        for end in [*ends, len(text)]:
+            while start < end:
+                m = WORD_END.search(text, start + LONG, end) if end - start > LONG else None
+                stop = m.end() if m else end
+                ranks += self.whole(text[start:stop])
+                start = stop
+                if len(ranks) > LONG:
+                    out.append(self.id_of[np.asarray(array("I", ranks))].tobytes())
+                    ranks = []
+        return b"".join([*out, self.id_of[np.asarray(array("I", ranks))].tobytes()])
+
     def encode(self, text: str) -> bytes:
         if "<|" in text and any(s in text for s in self.specials):
             return self._library(text)
         if self.lowered:
             return b"".join(map(self.words.__getitem__, text.replace("\n", " ").split(" ")))
+        if PLAIN.match(text):
+            return self._plain(text)
         if TORN.search(text) or text[:1] == " ":
             return b"".join(map(self.words.__getitem__, CHUNKS.findall(text)))
         first, *rest = text.split(" ")

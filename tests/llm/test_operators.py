@@ -75,6 +75,22 @@ def test_word_encoders():
             e.check(t)
 
 
+@pytest.mark.parametrize("long", [4, 50, 1 << 20])
+def test_plain_texts_are_encoded_whole(monkeypatch, long):
+    """A text of ever new words takes one call for each stretch, not one for each word; the ids are the library's."""
+    monkeypatch.setattr(wordcache, "LONG", long, raising=False)
+    rnd, e = random.Random(3), wordcache.Encoder(vocabulary("byte_bpe_50k.json"))
+    latin = "".join(c for c in map(chr, range(32, 256)) if wordcache.PLAIN.match(c)) + "\n"
+    word = lambda: "".join(rnd.choice("aeinrstÉß'9.²ª$") for _ in range(rnd.randrange(1, 12)))
+    made = [" ".join(word() for _ in range(300)), "".join(x + y for x in latin for y in latin), *(w + s + w for w in ("", "a", "\n", "'s", "5") for s in (" ", "\n", "  ", " \n", "\n ", "\n\n\n  "))]
+    made += ["".join(rnd.choice((word(), " ", "\n", "  ", " \n\n", "'ll", "don't")) for _ in range(60)) for _ in range(100)]
+    for t in made:
+        e.check(t)
+    assert not e.words and not e.spaced
+    for t in (" " * 300_000 + "a", "a" + "\n " * 300_000, " x" * 3 + "." * 300_000):
+        assert e.encode(t)
+
+
 def test_top_k(spark):
     rnd = random.Random(2)
     rows = [(i, [rnd.choice([-1.0, 0.5, 0.25, 0.1, 2.0]) for _ in range(4)], "x") for i in range(150)]
